@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumaframe.llm import splits
+from lumaframe.llm import neighbors, overlaps, splits
 from lumaframe.sources.tables import table
 
 
@@ -21,8 +22,23 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_shares(splits.assign_splits(table(spark, sf_dir, "fold_0"), targets), targets)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlaps.cross_split_pairs(table(spark, sf_dir, "experiences"))
+    return pairs.select(F.least("eval_id", "train_id").cast("bigint").alias("row_a"), F.greatest("eval_id", "train_id").cast("bigint").alias("row_b"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.overlap_counts(table(spark, sf_dir, "experiences"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "experiences")
+    found = [neighbors.neighbor_pairs(rows, F.col(f"fixed_features.{name}"), dim, name) for name, dim in (("visual_embedding", 192), ("luminance_histogram", 32))]
+    return found[0].unionByName(found[1])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_counts, p3_found)}
 
 
 def oracle_sql() -> dict[str, str]:
