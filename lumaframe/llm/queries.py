@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import neighbors, overlaps, splits
+from lumaframe.llm import mixing, neighbors, overlaps, packing, sentences, splits
 from lumaframe.sources.tables import table
 
 
@@ -37,8 +37,43 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_specs"))
+
+
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_summary(p6_packing(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen_documents(_mixture(spark, sf_dir))
+
+
+def p7_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_shares(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_rows(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+_ALL = (p1_found, p1_splits, p1_shares, p2_found, p2_counts, p3_found, p6_packing, p6_summary, p7_mix, p7_schedule, p7_shares, p8_found, p8_sentences)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_counts, p3_found)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
