@@ -1,0 +1,208 @@
+"""Image kernels in numpy behind Arrow batches; pixels never become rows.
+
+An image is an array of doubles in [0, 1] with its height and width (3 channels).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+# Luminance weights and the analysis thresholds.
+LUMA = np.array([0.2126, 0.7152, 0.0722])
+SHADOW, HIGHLIGHT, MIDTONE = 0.05, 0.98, (0.10, 0.90)
+NOISE_FLOOR, NOISE_REFERENCE, LAPLACIAN_REFERENCE = 0.0005, 0.008, 0.10
+
+
+def luminance(image: np.ndarray) -> np.ndarray:
+    return image @ LUMA
+
+
+def blur(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian over the first two axes, edges mirrored."""
+    if sigma <= 0:
+        return image
+    reach = max(1, int(4 * sigma + 0.5))
+    x = np.arange(-reach, reach + 1)
+    kernel = np.exp(-(x * x) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+    out = image
+    for axis in (0, 1):
+        pad = [(reach, reach) if a == axis else (0, 0) for a in range(image.ndim)]
+        wide = np.pad(out, pad, mode="symmetric")
+        n = image.shape[axis]
+        out = sum(k * np.take(wide, range(i, i + n), axis=axis) for i, k in enumerate(kernel))
+    return out
+
+
+def gradient_size(gray: np.ndarray) -> np.ndarray:
+    gy = np.gradient(gray, axis=0) if gray.shape[0] > 1 else np.zeros_like(gray)
+    gx = np.gradient(gray, axis=1) if gray.shape[1] > 1 else np.zeros_like(gray)
+    return np.hypot(gx, gy)
+
+
+def laplacian(gray: np.ndarray) -> np.ndarray:
+    wide = np.pad(gray, 1, mode="symmetric")
+    return wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * gray
+
+
+def _clip(x: float) -> float:
+    return float(min(1.0, max(0.0, x)))
+
+
+def quality(image: np.ndarray) -> dict[str, float]:
+    """Brightness, tone ratios, noise, sharpness and the scores made of them."""
+    gray = luminance(image)
+    low, high = np.percentile(gray, [5, 95])
+    span = float(high - low)
+    shadow, highlight = float((gray < SHADOW).mean()), float((gray > HIGHLIGHT).mean())
+    midtone = float(((gray >= MIDTONE[0]) & (gray <= MIDTONE[1])).mean())
+    size = gradient_size(gray)
+    flat = size <= np.percentile(size, 50)
+    residual = float(np.abs(gray - blur(gray, 1.0))[flat].mean())
+    noise = _clip((residual - NOISE_FLOOR) / max(NOISE_REFERENCE - NOISE_FLOOR, 1e-8))
+    even = np.clip((gray - low) / max(span, 1e-6), 0, 1)
+    smooth = blur(even, 0.6)
+    edges = gradient_size(smooth)
+    strong = float(np.percentile(edges, 90))
+    mask = edges >= strong
+    edge_laplacian = float(np.abs(laplacian(smooth))[mask].mean()) if mask.any() else 0.0
+    contrast = _clip(span / 0.20)
+    confidence = contrast * _clip(strong / 0.02)
+    motion = confidence * (1 - _clip(edge_laplacian / LAPLACIAN_REFERENCE)) + (1 - confidence) * 0.5
+    exposure = _clip(0.3 * _clip(1 - shadow / 0.6) + 0.3 * _clip(1 - highlight / 0.06) + 0.4 * _clip(midtone / 0.55))
+    overall = _clip(0.4 * exposure + 0.2 * contrast + 0.2 * (1 - noise) + 0.2 * (1 - motion))
+    return {
+        "brightness": float(gray.mean()), "shadow": shadow, "highlight": highlight, "midtone_ratio": midtone, "dynamic_range": span, "noise": noise, "motion_blur": motion,
+        "sharpness_confidence": confidence, "exposure_score": exposure, "contrast_score": contrast, "overall_quality": overall,
+    }
+
+
+def to_linear(image: np.ndarray) -> np.ndarray:
+    return np.where(image <= 0.04045, image / 12.92, ((np.maximum(image, 0.04045) + 0.055) / 1.055) ** 2.4)
+
+
+def to_srgb(linear: np.ndarray) -> np.ndarray:
+    linear = np.clip(linear, 0, 1)
+    return np.where(linear <= 0.0031308, linear * 12.92, 1.055 * np.maximum(linear, 0.0031308) ** (1 / 2.4) - 0.055)
+
+
+def render(image: np.ndarray, iso: float, shutter: float, to_iso: float, to_shutter: float, seed: int = 7) -> np.ndarray:
+    """The frame as other settings would take it: exposure, tone, noise, blur.
+
+    The noise is drawn from a generator seeded by the target ISO, so that a row's
+    result does not depend on its partition.
+    """
+    gain, longer = to_iso / iso, to_shutter / shutter
+    linear = to_linear(image) * gain * longer
+    out = to_srgb(np.clip(linear / (1 + np.maximum(linear - 1, 0)), 0, 1))
+    if gain > 1.02:
+        sigma = min(0.045, 0.006 * math.log2(gain + 1))
+        out = np.clip(out + np.random.default_rng(seed + int(to_iso)).normal(0, sigma, out.shape), 0, 1)
+    if longer > 1.2:
+        scale = max(out.shape[:2]) / 768
+        radius = min(2.2 * scale, 0.35 * math.log2(longer) * scale)
+        if radius > 0.05:
+            out = np.clip(blur(out, radius), 0, 1)
+    return out
+
+
+def histogram(image: np.ndarray, bins: int = 32) -> np.ndarray:
+    counts, _ = np.histogram(luminance(image), bins=bins, range=(0, 1))
+    return np.round(counts / max(counts.sum(), 1), 8)
+
+
+def descriptor(image: np.ndarray, side: int = 8) -> np.ndarray:
+    """side x side x 3 values: channels stretched to their 5..95 percentiles, area-averaged."""
+    low, high = np.percentile(image, [5, 95], axis=(0, 1))
+    even = np.clip((image - low) / np.maximum(high - low, 1e-6), 0, 1)
+    rows = np.linspace(0, even.shape[0], side + 1).astype(int)
+    cols = np.linspace(0, even.shape[1], side + 1).astype(int)
+    cells = [even[a : max(b, a + 1), c : max(d, c + 1)].mean(axis=(0, 1)) for a, b in zip(rows, rows[1:]) for c, d in zip(cols, cols[1:])]
+    return np.round(np.concatenate(cells), 6)
+
+
+def demosaic(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
+    """Bilinear colours of a Bayer mosaic: each channel's known pixels averaged over 3 x 3."""
+    h, w = raw.shape
+    out = np.zeros((h, w, 3))
+    for channel, name in enumerate("RGB"):
+        mask = np.zeros((h, w))
+        for i, letter in enumerate(pattern):
+            if letter == name:
+                mask[i // 2 :: 2, i % 2 :: 2] = 1
+        known = raw * mask
+        around = sum(np.pad(known, 1, mode="reflect")[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] * wt for dy, dx, wt in _RING)
+        weight = sum(np.pad(mask, 1, mode="reflect")[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] * wt for dy, dx, wt in _RING)
+        out[:, :, channel] = np.where(mask > 0, raw, around / np.maximum(weight, 1e-12))
+    return out
+
+
+_RING = [(dy, dx, 1.0 / (1 + abs(dy) + abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+
+def normalize_raw(raw: np.ndarray, black: float, white: float) -> np.ndarray:
+    """To [0, 1] by black and white level; floats already there pass through."""
+    if np.issubdtype(raw.dtype, np.floating) and raw.size and raw.min() >= 0 and raw.max() <= 1:
+        return raw.astype(np.float64)
+    return np.clip((raw.astype(np.float64) - black) / max(white - black, 1e-12), 0, 1)
+
+
+def develop(raw: np.ndarray, black: float = 0.0, white: float = 65_535.0, pattern: str = "RGGB", neutral: tuple[float, float, float] | None = None, turns: int = 0) -> np.ndarray:
+    """RAW mosaic to sRGB: levels, colours, white balance (gray world without a neutral), transfer, rotation."""
+    rgb = demosaic(normalize_raw(raw, black, white), pattern)
+    means = np.array(neutral) if neutral else rgb.mean(axis=(0, 1))
+    gains = means[1] / np.maximum(means, 1e-8) if neutral is None else 1 / np.maximum(means, 1e-8)
+    return np.rot90(to_srgb(rgb * (gains / gains[1])), turns)
+
+
+REPORT = (
+    "brightness double, shadow double, highlight double, midtone_ratio double, dynamic_range double, noise double, motion_blur double,"
+    " sharpness_confidence double, exposure_score double, contrast_score double, overall_quality double"
+)
+_NAMES = [c.split()[0] for c in REPORT.split(",")]
+
+
+def quality_reports(frames: DataFrame, key: str, pixels: str, height: int, width: int) -> DataFrame:
+    """(key, report columns) of frames whose ``pixels`` hold height x width x 3 values in [0, 1].
+
+    Frames with null, wrong-length or non-finite pixels are left out.
+    """
+    size = height * width * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows = [], []
+            for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                values = p.values.to_numpy(zero_copy_only=False) if p.is_valid else np.zeros(0)
+                if len(values) == size and np.isfinite(values).all() and values.min() >= 0 and values.max() <= 1:
+                    keys.append(k)
+                    rows.append(quality(values.reshape(height, width, 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([r[n] for r in rows], pa.float64()) for n in _NAMES]], names=["id", *_NAMES])
+
+    return frames.selectExpr(f"cast({key} as bigint) id", f"cast({pixels} as array<double>) px").mapInArrow(run, f"id bigint, {REPORT}").withColumnRenamed("id", key.split(".")[-1])
+
+
+def rendered_quality(frames: DataFrame, key: str, pixels: str, height: int, width: int, iso: str, shutter: str, to_iso: str, to_shutter: str) -> DataFrame:
+    """Quality of each frame as rendered at other settings; pixels stay in the worker."""
+    size = height * width * 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows = [], []
+            fields = [b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
+            for (k, *settings), p in zip(zip(*fields, strict=True), b.column(1), strict=True):
+                values = p.values.to_numpy(zero_copy_only=False) if p.is_valid else np.zeros(0)
+                fine = len(values) == size and np.isfinite(values).all() and values.min() >= 0 and values.max() <= 1
+                if fine and all(s is not None and math.isfinite(s) and s > 0 for s in settings):
+                    keys.append(k)
+                    rows.append(quality(render(values.reshape(height, width, 3), *settings)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([r[n] for r in rows], pa.float64()) for n in _NAMES]], names=["id", *_NAMES])
+
+    take = [f"cast({key} as bigint) id", f"cast({pixels} as array<double>) px", *[f"cast({c} as double) s{i}" for i, c in enumerate((iso, shutter, to_iso, to_shutter))]]
+    return frames.selectExpr(*take).mapInArrow(run, f"id bigint, {REPORT}").withColumnRenamed("id", key.split(".")[-1])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumaframe.plans import records
+from lumaframe.plans import frames, records, relational
 
-_MODULES = (records,)
+_MODULES = (relational, records, frames)
 
 
 def queries() -> dict:
