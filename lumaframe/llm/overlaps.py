@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions.labels import scene_key, split_name
-from lumaframe.llm.vectors import NearKernel, bucket_entries, random_codes, sample_vectors, stream_blocks, vector_rows
+from lumaframe.llm.vectors import NearKernel, bucket_entries, random_codes, sample_vectors, vector_rows
+from lumaframe.operators.blocks import stream_blocks
 from lumaframe.operators.skew import hot_key_join
 from lumaframe.session import materialize
 
