@@ -55,7 +55,7 @@ def confusion(rows: DataFrame, target: Column, predicted: Column) -> DataFrame:
 
 def value_histogram(rows: DataFrame, by: str, bin_no: Column) -> DataFrame:
     """Counts and shares of each bin per group; values without a bin are left out."""
-    counts = rows.withColumn("bin", bin_no).where("bin is not null").groupBy(by, "bin").count()
+    counts = rows.select(by, bin_no.alias("bin")).where("bin is not null").groupBy(by, "bin").count()
     totals = counts.groupBy(by).agg(F.sum("count").alias("_all"))
     return counts.join(totals, by).select(by, "bin", F.col("count").alias("n"), F.round(F.col("count") / F.col("_all"), 8).alias("share"))
 

@@ -9,16 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in ``order``; null keys form one key."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rn = unused(df, "_rn")
+    return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of every key: ``order`` is given ascending and reversed here."""
-    numbered = df.withColumn("_ord", F.struct(*[o.alias(f"c{i}") for i, o in enumerate(order)]))
-    return first_wins(numbered, keys, [F.desc("_ord")]).drop("_ord")
+    ord_ = unused(df, "_ord")
+    numbered = df.withColumn(ord_, F.struct(*[o.alias(f"c{i}") for i, o in enumerate(order)]))
+    return first_wins(numbered, keys, [F.desc(ord_)]).drop(ord_)
 
 
 def argmax_first(df: DataFrame, keys: list[str], score: Column, *ties: Column) -> DataFrame:
