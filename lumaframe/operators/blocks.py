@@ -14,18 +14,31 @@ from pyspark.sql.types import _parse_datatype_string
 
 from lumaframe.session import materialize
 
-BLOCK = 4096  # query vectors a task holds at once
-CHUNK = 4096  # vectors compared with them at once
+BLOCK = 16_384  # query vectors a task holds at once
+SCORES = 1 << 24  # scores a kernel should compute at once
+CHUNK = 4096  # rows handed to a kernel at once
 TASK_BYTES = 24 << 20  # bytes of vectors a shuffle partition should hold
+FIXED_POINT = 2.0**31  # unit vectors can travel as 32-bit fixed point, with an error below 2.4e-10
 
 
-def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable, schema: str, dim: int, block: int = BLOCK) -> DataFrame:
+def pack_fixed(vecs: np.ndarray) -> list[bytes]:
+    """Numbers in [-1, 1] as 32-bit fixed point, one blob per row."""
+    whole = np.clip(np.rint(vecs * FIXED_POINT), -FIXED_POINT, FIXED_POINT - 1).astype("<i4")
+    return [row.tobytes() for row in whole]
+
+
+def pack_floats(vecs: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in np.ascontiguousarray(vecs, dtype="<f8")]
+
+
+def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable, schema: str, dim: int, block: int = BLOCK, fixed: bool = False) -> DataFrame:
     """Each bucket's index rows stream past each block of its queries.
 
     ``queries`` None: the index queries itself.  A bucket with n queries is cut into
     ceil(n / block) blocks by a hash of the id; block and bucket name the shuffle
     key, so the blocks of a hot bucket spread over all tasks.  ``kernel()`` makes an
     object with ``start(ids, vecs)``, ``feed(ids, vecs)`` and ``end() -> columns``.
+    ``vec`` is a blob made by ``pack_floats``, or by ``pack_fixed`` if ``fixed``.
     """
     asking = index if queries is None else queries
     counts = asking.groupBy("key").count().select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -39,7 +52,7 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
         rows = asked.unionByName(spread.select("key", "blk", F.lit(1).alias("role"), "id", "vec"))
     per_key = index.groupBy("key").count().join(counts, "key")
     copies = per_key.agg(F.sum(F.col("count") * F.col("blocks"))).first()[0] or 0
-    parts = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(copies * dim * 8 / TASK_BYTES))
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(copies * dim * (4 if fixed else 8) / TASK_BYTES))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     self_join = queries is None
 
@@ -73,7 +86,9 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
             if not n:
                 continue
             key, blk, role, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            vecs = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.float64).reshape(n, dim)
+            vecs = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4" if fixed else "<f8").reshape(n, dim)
+            if fixed:
+                vecs = vecs / FIXED_POINT
             edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(blk) != 0) | (np.diff(role) != 0)) + 1
             for a, b in zip([0, *edges], [*edges, n], strict=True):
                 here = (key[a], blk[a])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.operators.blocks import stream_blocks
+from lumaframe.operators.blocks import pack_floats, stream_blocks
 from lumaframe.operators.skew import top_per_key
 
 ROWS_PER_SLICE = 50_000
@@ -116,8 +116,8 @@ def _packed(rows: DataFrame, key: str, parts: list[Component], excludes: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], type=pa.binary())], names=["id", "vec"])
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pack_floats(flat), type=pa.binary())], names=["id", "vec"])
 
     return whole.select("id", joined.alias("v")).mapInArrow(run, "id bigint, vec binary")
 
