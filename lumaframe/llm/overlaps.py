@@ -35,7 +35,7 @@ def near_classes(rows: DataFrame, least: float, dim: int, tables: int, width: in
     codes = random_codes(sample_vectors(classes), tables * width, dim)
     entries = bucket_entries(classes, codes, tables, width, extra="train")
     asking, index = entries.where("train = 0").drop("train"), entries.where("train = 1").drop("train")
-    hits = stream_blocks(asking, index, partial(NearKernel, least), "rep_eval bigint, rep_train bigint, cosine double", dim)
+    hits = stream_blocks(asking, index, partial(NearKernel, least), "rep_eval bigint, rep_train bigint, cosine double", dim, fixed=True)
     pairs = hits.groupBy("rep_eval", "rep_train").agg(F.max("cosine").alias("cosine"), (F.count("*") / F.lit(float(tables))).alias("containment"))
     same = F.concat_ws("_", "train", "h1", "h2").alias("same")
     reps = materialize(classes.select(same, "rep"))

@@ -76,5 +76,39 @@ def queries() -> dict:
     return {f.__name__: f for f in _ALL}
 
 
+_WHOLE = "regexp_replace({}, '^0*([0-9]+)$', '\\1')"
+_READ = f"""
+n AS (SELECT *, regexp_extract_all(scene_id, '[0-9]+') AS sn, regexp_extract_all(physical_scene_id, '[0-9]+') AS pn, regexp_replace(lower(dataset_split), '[^a-z]+', '', 'g') AS word FROM {{table}}),
+k AS (SELECT *, CASE WHEN len(sn) >= 2 THEN {_WHOLE.format("sn[1]")} || '_' || {_WHOLE.format("sn[2]")} END AS scene,
+  {_WHOLE.format("CASE WHEN len(pn) >= 1 THEN pn[1] WHEN len(sn) >= 2 THEN sn[2] END")} AS physical,
+  CASE WHEN word IN ('train', 'training') THEN 'train' WHEN word IN ('validation', 'val', 'valid', 'dev') THEN 'validation' WHEN word IN ('test', 'testing') THEN 'test' END AS split FROM n)
+"""
+
+P1_FOUND = (
+    "WITH RECURSIVE "
+    + _READ.format(table="fold_0")
+    + """,
+e AS (SELECT DISTINCT 'p' || physical AS u, coalesce('s' || scene, 'p' || physical) AS v FROM k WHERE physical IS NOT NULL),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS node, u AS other FROM b UNION SELECT r.node, b.v FROM reach r JOIN b ON b.u = r.other),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+m AS (SELECT k.row_id, k.split, CASE WHEN k.split = 'train' THEN cross_fold END AS fold, root FROM k JOIN roots ON node = 'p' || physical),
+t AS (SELECT root, min(row_id) AS unit_id FROM m GROUP BY root HAVING count(DISTINCT split) >= 2 OR count(DISTINCT fold) >= 2)
+SELECT unit_id::BIGINT AS unit_id, row_id::BIGINT AS row_id FROM m JOIN t USING (root)"""
+)
+
+P2_FOUND = (
+    "WITH "
+    + _READ.format(table="experiences")
+    + """,
+v AS (SELECT row_id, split, scene, CASE WHEN len(x) = 192 AND list_bool_and(list_transform(x, lambda z: z IS NOT NULL AND isfinite(z))) AND list_bool_or(list_transform(x, lambda z: z <> 0)) THEN x END AS x
+  FROM (SELECT row_id, split, scene, fixed_features.visual_embedding AS x FROM k WHERE split IS NOT NULL)),
+u AS (SELECT row_id, split, scene, x, sqrt(list_sum(list_transform(x, lambda z: z * z))) AS n FROM v)
+SELECT least(a.row_id, b.row_id)::BIGINT AS row_a, greatest(a.row_id, b.row_id)::BIGINT AS row_b FROM u a JOIN u b ON a.split <> 'train' AND b.split = 'train'
+WHERE coalesce(a.scene = b.scene, false) OR coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / (a.n * b.n) >= 0.99, false)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the exact, non-iterative results; the others are tested against brute force."""
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND}

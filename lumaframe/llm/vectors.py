@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumaframe.operators.blocks import SCORES, pack_fixed
 from lumaframe.operators.skew import top_per_key
 
 SAMPLE = 10_000  # vectors on which codes are fitted, the least by hash
@@ -88,7 +89,7 @@ def random_codes(sample: np.ndarray, bits: int, dim: int, seed: int = 11) -> tup
 
 
 def bucket_entries(classes: DataFrame, codes: tuple[np.ndarray, np.ndarray], tables: int, width: int, extra: str = "") -> DataFrame:
-    """(key, id, vec, ...) for each table: key = table and substring, vec = unit bytes."""
+    """(key, id, vec, ...) for each table: key = table and substring, vec = unit vector in fixed point."""
     mean, directions = codes
     weights = 1 << np.arange(width, dtype=np.int64)
     schema: StructType = _parse_datatype_string("id bigint, keys array<bigint>, vec binary" + (f", {extra} int" if extra else ""))
@@ -103,8 +104,7 @@ def bucket_entries(classes: DataFrame, codes: tuple[np.ndarray, np.ndarray], tab
             bits = (v - mean) @ directions[:, : tables * width] > 0
             keys = bits.reshape(n, tables, width) @ weights + (np.arange(tables, dtype=np.int64) << width)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
-            raw = np.ascontiguousarray(v)
-            packed = pa.array([raw[i].tobytes() for i in range(n)], type=pa.binary())
+            packed = pa.array(pack_fixed(v), type=pa.binary())
             cols = [batch.column(0), lists, packed, *([batch.column(2)] if extra else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
@@ -125,15 +125,20 @@ class NearestKernel:
         self.q = np.zeros(0, np.int64)
         self.s, self.o = np.zeros(0), np.zeros(0, np.int64)
         self.floor = np.full(len(ids), -2.0, np.float32)
+        self.fresh = True
 
     def feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        if not len(self.ids) or not len(ids):
-            return
+        step = max(256, SCORES // max(1, len(self.ids)))
+        for i in range(0, len(ids) if len(self.ids) else 0, step):
+            self._feed(ids[i : i + step], vecs[i : i + step])
+
+    def _feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
         score = self.small @ vecs.astype(np.float32).T
         k = self.k + 1  # one of them may be the query itself
-        few = score[:, :1024]
-        if few.shape[1] > k:
-            self.floor = np.maximum(self.floor, np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k] - self.MARGIN)
+        if self.fresh and score.shape[1] > k:  # later chunks are cut by what the first left
+            few = score[:, :1024]
+            self.floor = np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k] - self.MARGIN
+            self.fresh = False
         qi, xi = np.nonzero(score >= self.floor[:, None])
         keep = self.ids[qi] != ids[xi]
         qi, xi = qi[keep], xi[keep]
@@ -165,8 +170,11 @@ class NearKernel:
         self.out: list[tuple] = []
 
     def feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        if not len(self.ids) or not len(ids):
-            return
+        step = max(256, SCORES // max(1, len(self.ids)))
+        for i in range(0, len(ids) if len(self.ids) else 0, step):
+            self._feed(ids[i : i + step], vecs[i : i + step])
+
+    def _feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
         qi, xi = np.nonzero(self.small @ vecs.astype(np.float32).T >= self.least - 1e-5)
         for i in range(0, len(qi), 65_536):
             a, b = qi[i : i + 65_536], xi[i : i + 65_536]
