@@ -27,6 +27,17 @@ def pack_fixed(vecs: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in whole]
 
 
+def hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true cells of a sparse mask, eight cells at a time."""
+    flat = mask.ravel()
+    whole = flat.size // 8 * 8
+    eights = flat[:whole].view(np.uint64)
+    words = np.flatnonzero(eights)
+    at, bit = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    cells = np.concatenate([words[at] * 8 + bit, whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(cells, mask.shape[1]) if mask.shape[1] else (cells, cells)
+
+
 def pack_floats(vecs: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.ascontiguousarray(vecs, dtype="<f8")]
 
