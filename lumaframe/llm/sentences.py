@@ -29,9 +29,10 @@ MARKS = ".!?…。．！？｡।॥؟۔‼⁇⁈⁉᙮។"
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
 CLOSERS = set(OPENERS.values()) | {"”", "»", "’"}
 UNMARKED = "฀-๿຀-໿ក-៿က-႟"  # Thai, Lao, Khmer, Burmese
-_BREAK = re.compile(r"\n[^\S\n]*(?:\n\s*)*(?:(?<=\n)(?=[^\S\n]*(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|[A-Za-z][)]|#{1,6})[^\S\n]+\S))|[^\S\n]*\n[^\S\n]*\n\s*")
+_ITEM = r"(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|[A-Za-z][)]|#{1,6})[^\S\n]+"
+_BREAK = re.compile(rf"\n[^\S\n]*\n\s*|\n(?=[^\S\n]*{_ITEM}\S)")
 _HEADING = re.compile(r"(?m)^[^\S\n]*#{1,6}[^\S\n]+[^\n]*")
-_MARKER = re.compile(r"\s*(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|[A-Za-z][)]|#{1,6})[^\S\n]+")
+_MARKER = re.compile(rf"\s*{_ITEM}")
 _CANDIDATE = re.compile(rf"[{re.escape(MARKS)}]+|(?<=[{UNMARKED}])\s+(?=\S)|(?<=\S)\s+(?=[{UNMARKED}])")
 _UNMARKED = re.compile(rf"[{UNMARKED}]")
 _WORD = re.compile(r"[^\s()\[\]{}（）「」『』“”„«»\"“，、；：,;:！？。!?]+$")
@@ -60,25 +61,26 @@ def spans(block: str) -> tuple[list[int], dict[int, int]]:
 
     Only pairs that close within the block count.
     """
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int]] = []  # (awaited closer, place of the opener)
+    awaited: dict[str, int] = defaultdict(int)
     pairs: dict[int, int] = {}
+
+    def push(closer: str, at: int) -> None:
+        stack.append((closer, at))
+        awaited[closer] += 1
+
     for i, ch in enumerate(block):
-        if ch == '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is None:
-                stack.append(('"', i))
-            else:
-                pairs[i] = stack[at][1]
-                del stack[at:]
-        elif ch in CLOSERS or ch in OPENERS:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
-            if at is not None:
-                pairs[i] = stack[at][1]
-                del stack[at:]
-            elif ch in OPENERS:
-                stack.append((OPENERS[ch], i))
-            elif ch == "»":
-                stack.append(("«", i))
+        if awaited and awaited[ch]:
+            while True:  # what opened later and is still open never closes
+                closer, at = stack.pop()
+                awaited[closer] -= 1
+                if closer == ch:
+                    pairs[i] = at
+                    break
+        elif ch in OPENERS:
+            push(OPENERS[ch], i)
+        elif ch == '"' or ch == "»":
+            push('"' if ch == '"' else "«", i)
     change = [0] * (len(block) + 1)
     for c, o in pairs.items():
         change[o] += 1
@@ -222,8 +224,7 @@ class SentenceModel:
     def decode(self, rows: list[list[str]]) -> list[int]:
         """The best tag sequence (1 = a sentence ends here) by Viterbi's algorithm."""
         w, m = self.weights, self.moves
-        score, back = (0.0, float("-inf")), []
-        score = None
+        score, back = None, []
         for row in rows:
             own = sum(w.get(f, 0.0) for f in row)
             if score is None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumaframe.operators.blocks import SCORES, pack_fixed
+from lumaframe.operators.blocks import SCORES, hits, pack_fixed
 from lumaframe.operators.skew import top_per_key
 
 SAMPLE = 10_000  # vectors on which codes are fitted, the least by hash
@@ -139,7 +139,7 @@ class NearestKernel:
             few = score[:, :1024]
             self.floor = np.partition(few, few.shape[1] - k, axis=1)[:, few.shape[1] - k] - self.MARGIN
             self.fresh = False
-        qi, xi = np.nonzero(score >= self.floor[:, None])
+        qi, xi = hits(score >= self.floor[:, None])
         keep = self.ids[qi] != ids[xi]
         qi, xi = qi[keep], xi[keep]
         exact = np.empty(len(qi))
@@ -175,7 +175,7 @@ class NearKernel:
             self._feed(ids[i : i + step], vecs[i : i + step])
 
     def _feed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
-        qi, xi = np.nonzero(self.small @ vecs.astype(np.float32).T >= self.least - 1e-5)
+        qi, xi = hits(self.small @ vecs.astype(np.float32).T >= self.least - 1e-5)
         for i in range(0, len(qi), 65_536):
             a, b = qi[i : i + 65_536], xi[i : i + 65_536]
             exact = np.einsum("ij,ij->i", self.vecs[a], vecs[b])
