@@ -160,7 +160,7 @@ def strip_fence(text: Column) -> Column:
 
 def stable_id(*fields: Column) -> Column:
     """First 20 hex digits of SHA-256 over the fields' texts; nulls keep their place."""
-    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(f.cast("string"), F.lit("\x00")) for f in fields]), 256), 1, 20)
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(f.cast("string"), F.lit("\u2400")) for f in fields]), 256), 1, 20)
 
 
 def resolve_path(path: Column, base: str) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.operators import drift, nested
+from lumaframe.operators import drift, labels, nested
+from lumaframe.session import materialize
 from lumaframe.sources.tables import table
 
 
@@ -54,5 +55,14 @@ def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).groupBy("level", "variant").agg(F.count("*").alias("nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_counts, p5_found, p5_runs, p5_iterations, p5_candidates, p5_variants)}
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = materialize(_flat(spark, sf_dir))
+    return labels.run_reports(nested.runs_table(flat), nested.iterations_table(flat))
+
+
+def two_stage_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.two_stage_examples(nested.iterations_table(_flat(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_counts, p5_found, p5_runs, p5_iterations, p5_candidates, p5_variants, run_reports, two_stage_examples)}
 ORACLES: dict[str, str] = {}

@@ -6,14 +6,18 @@ key (``l_orderkey, l_linenumber`` is none, so more columns follow).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.functions import decisions
 from lumaframe.functions import exprs as X
-from lumaframe.operators import evaluate, order, retrieval, search, splits
-from lumaframe.session import materialize
+from lumaframe.operators import evaluate, labels, order, retrieval, search, splits
+from lumaframe.session import materialize, shared_dir
 from lumaframe.sources.jsonl import line_kind
 from lumaframe.sources.tables import table
+from lumaframe.streaming import memory
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -425,3 +429,51 @@ def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     near = retrieval.weighted_neighbors(rows.where("vec_id % 20 = 0"), rows, "vec_id", [retrieval.Component("embedding", "cosine", 64, 1.0)], 5, ("label",))
     return near.select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
+
+
+# --- training rows, decisions, streams -------------------------------------------------
+
+
+@query("""
+SELECT row_id, o AS "offset", round(final_action.shutter * 2.0::DOUBLE ** o, 10) + 0.0 AS shutter, o = 0 AS own_image FROM fold_0, (SELECT unnest([-1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE]) AS o)""")
+def exposure_variants(spark: SparkSession, sf: str) -> DataFrame:
+    out = labels.exposure_variants(table(spark, sf, "fold_0"), "row_id", F.col("final_action.shutter"))
+    return out.select("row_id", "offset", _r(F.col("shutter"), 10).alias("shutter"), "own_image")
+
+
+@query("""
+SELECT example_id, min(row_id) AS row_id FROM (SELECT row_id, substr(sha256(concat_ws(chr(31), coalesce(run_id, chr(9216)), coalesce(scene_id, chr(9216)), coalesce(cross_fold::VARCHAR, chr(9216)))), 1, 20) AS example_id FROM fold_0) GROUP BY example_id""")
+def example_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "fold_0").select("row_id", X.stable_id(F.col("run_id"), F.col("scene_id"), F.col("cross_fold")).alias("example_id"))
+    return rows.groupBy("example_id").agg(F.min("row_id").alias("row_id"))
+
+
+@query("SELECT row_id, coalesce(label_source, '') || ' at ' || coalesce(final_action.iso::VARCHAR, '?') AS answer FROM experiences")
+def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat rows made of experiences, and the answer read back from each."""
+    answer = F.concat(F.coalesce("label_source", F.lit("")), F.lit(" at "), F.coalesce(F.col("final_action.iso").cast("string"), F.lit("?")))
+    row = decisions.chat_row(F.lit("Set the exposure."), F.col("original_image_path"), F.coalesce("scene_id", F.lit("unknown scene")), answer)
+    content = decisions.last_answer(row)
+    return table(spark, sf, "experiences").select("row_id", F.get(F.from_json(content, "array<struct<type string, value string>>"), F.lit(0))["value"].alias("answer"))
+
+
+@query("""
+SELECT coalesce(CASE WHEN initial_vlm_action IS NULL OR initial_vlm_action.iso IS NULL OR initial_vlm_action.shutter IS NULL THEN 'no absolute action'
+  WHEN initial_vlm_action.iso < 1 OR initial_vlm_action.shutter <= 0 OR isnan(initial_vlm_action.shutter) THEN 'action out of range' END, 'fine') AS verdict, count(*) AS n FROM experiences GROUP BY 1""")
+def decision_checks(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("initial_vlm_action").alias("action"), F.lit("x").alias("reason"))), F.lit("\n```"))
+    parsed = table(spark, sf, "experiences").select(decisions.parse_decision(raw).alias("p"))
+    return parsed.groupBy(F.coalesce("p.error", F.lit("fine")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT date_trunc('day', recorded_at)::TIMESTAMP AS window_start, label_source, count(*) AS rows, round(avg(CASE WHEN NOT isnan(quality_gain) THEN quality_gain END), 10) + 0.0 AS mean_gain
+FROM fold_0 WHERE recorded_at IS NOT NULL GROUP BY ALL""")
+def streamed_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily gains of the fold rows read as a stream; the result has one row a day and source."""
+    schema = table(spark, sf, "fold_0").schema
+    name = f"gains_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/fold_0.parque[t]")
+    gains = memory.windowed_gains(stream, "recorded_at", "label_source", evaluate.number(F.col("quality_gain")))
+    gains.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/{name}").start().awaitTermination()
+    return spark.table(name).select("window_start", "label_source", "rows", _r(F.col("mean_gain"), 10).alias("mean_gain"))
