@@ -90,6 +90,17 @@ def unmet_criteria(shadow: Column, highlight: Column, midtone: Column, span: Col
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
 
 
+def heuristic_action(shadow: Column, highlight: Column, midtone: Column, noise: Column, blur: Column, confidence: Column, iso: Column, shutter: Column) -> tuple[Column, Column]:
+    """(iso, shutter) of the rule of thumb: the first fault that holds decides; nulls are no fault."""
+    bright = F.coalesce(highlight > LIMITS["highlight"], F.lit(False))
+    dark = F.coalesce(shadow > LIMITS["shadow"], F.lit(False)) | F.coalesce(midtone < LIMITS["midtone"], F.lit(False))
+    noisy, shaken = F.coalesce(noise > LIMITS["noise"], F.lit(False)), F.coalesce(blur > LIMITS["noise"], F.lit(False))
+    smeared = F.coalesce((blur > LIMITS["blur"]) & (confidence > 0.5), F.lit(False))
+    iso_factor = F.when(bright, 1.0).when(dark & shaken, 2.0).when(dark, 1.0).when(noisy, 0.5).when(smeared, 2.0).otherwise(1.0)
+    shutter_factor = F.when(bright, 0.6).when(dark & shaken, 1.0).when(dark, 1.5).when(noisy, 2.0).when(smeared, 0.5).otherwise(1.0)
+    return F.greatest(F.bround(iso.cast("double") * iso_factor, 0), lit(1)), shutter * shutter_factor
+
+
 def exposure_score(shadow: Column, highlight: Column, midtone: Column) -> Column:
     s, h = clip01(lit(1) - shadow / lit(0.60)), clip01(lit(1) - highlight / lit(0.06))
     return clip01(lit(0.30) * s + lit(0.30) * h + lit(0.40) * clip01(midtone / lit(0.55)))

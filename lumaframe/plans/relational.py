@@ -326,6 +326,21 @@ def action_changes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", F.coalesce(X.is_unchanged(a, s, b, t), no).alias("unchanged"), F.coalesce(X.is_small(a, s, b, t), no).alias("small"))
 
 
+@query("""
+SELECT row_id, greatest(round_even(i * CASE WHEN b THEN 1 WHEN d AND l > 0.45 THEN 2 WHEN d THEN 1 WHEN n > 0.45 THEN 0.5 WHEN l > 0.55 AND c > 0.5 THEN 2 ELSE 1 END::DOUBLE, 0), 1) AS iso,
+  round(s * CASE WHEN b THEN 0.6 WHEN d AND l > 0.45 THEN 1 WHEN d THEN 1.5 WHEN n > 0.45 THEN 2 WHEN l > 0.55 AND c > 0.5 THEN 0.5 ELSE 1 END::DOUBLE, 10) + 0.0 AS shutter
+FROM (SELECT row_id, initial_metadata.iso::DOUBLE AS i, initial_metadata.shutter_speed_s AS s, coalesce(quality_before.quality.highlight > 0.03, false) AS b,
+  coalesce(quality_before.quality.shadow > 0.3, false) OR coalesce(quality_before.midtone_ratio < 0.55, false) AS d, quality_before.quality.noise AS n, quality_before.quality.motion_blur AS l, quality_before.sharpness_confidence AS c
+  FROM experiences WHERE initial_metadata.iso IS NOT NULL AND initial_metadata.shutter_speed_s IS NOT NULL)""")
+def heuristic_actions(spark: SparkSession, sf: str) -> DataFrame:
+    b = lambda c: F.col(f"quality_before.{c}")
+    iso, shutter = X.heuristic_action(
+        b("quality.shadow"), b("quality.highlight"), b("midtone_ratio"), b("quality.noise"), b("quality.motion_blur"), b("sharpness_confidence"), F.col("initial_metadata.iso"), F.col("initial_metadata.shutter_speed_s")
+    )
+    rows = table(spark, sf, "experiences").where("initial_metadata.iso is not null and initial_metadata.shutter_speed_s is not null")
+    return rows.select("row_id", iso.alias("iso"), _r(shutter, 10).alias("shutter"))
+
+
 # --- search and loop ----------------------------------------------------------------
 
 _GRID = """
