@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.session import materialize
 
+HOT_ROWS = 10_000  # a key with fewer rows is never hot
 
-def hot_keys(rows: DataFrame, key: str, share: float = 0.001) -> list:
-    """Keys that own more than ``share`` of the rows of ``rows``.
 
-    At most ``1 / share`` keys can qualify, whatever the data: that is the proven
-    bound on what comes to the driver.  Counting is pre-aggregated map-side.
-    Null keys never join and are left out.
+def hot_keys(rows: DataFrame, key: str, most: int = 1_000, least_rows: int = HOT_ROWS) -> list:
+    """The keys with most rows: at most ``most``, each with at least ``least_rows``.
+
+    ``most`` is the proven bound on what comes to the driver.  A key with more than
+    1 / ``most`` of the rows is always among them.  Counting is pre-aggregated
+    map-side and each task sends its ``most`` largest only.  Null keys never join
+    and are left out.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    counts = materialize(counts)
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    floor = max(total * share, 10_000)
-    return [r[0] for r in counts.where(F.col("count") > floor).select(key).collect()]
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least_rows)
+    return [r[0] for r in counts.orderBy(F.desc("count")).limit(most).select(key).collect()]
 
 
-def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, share: float = 0.001, how: str = "inner") -> DataFrame:
+def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows_at_most: int | None = None) -> DataFrame:
     """``rows JOIN lookup`` on ``key`` where ``lookup`` has one row per key.
 
-    Rows of hot keys meet a broadcast of the (at most ``1 / share``) lookup rows
-    of those keys and are not shuffled; all other rows take a shuffle join, in
-    which no key is hot any more.  ``how`` is ``inner`` or ``left``.
-    Null keys: dropped by ``inner``, kept with nulls by ``left``.
+    Rows of hot keys meet a broadcast of the (at most 1,000) lookup rows of those
+    keys and are not shuffled; all other rows take a shuffle join, in which no key
+    holds more than a thousandth of the rows.  ``how`` is ``inner`` or ``left``.
+    ``rows_at_most``: the number of rows where it is known; keys need not be counted
+    if it is below ``HOT_ROWS``.  Null keys: dropped by ``inner``, kept with nulls by
+    ``left``.
     """
-    hot = hot_keys(rows, key, share)
+    hot = hot_keys(rows, key) if rows_at_most is None or rows_at_most >= HOT_ROWS else []
     if not hot:
         return rows.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
