@@ -9,8 +9,8 @@ from lumaframe.operators.skew import hot_key_join
 from lumaframe.session import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on directed pairs ``(u, v)``.
+def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
+    """One star step on at most ``count`` directed pairs ``(u, v)``.
 
     The minimum of each neighbourhood is pre-aggregated map-side; it goes back to
     the pairs through a join whose hot centres are broadcast, so that a node that
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lows = around.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("low", "u"))
-    joined = hot_key_join(around, lows, "u")
+    joined = hot_key_join(around, lows, "u", rows_at_most=2 * count)
     if large:
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
@@ -53,9 +53,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not last[0]:
             break
-        after = materialize(_star(stars, large=True))
+        after = materialize(_star(stars, True, last[0]))
         release(stars)
-        stars = materialize(_star(after, large=False))
+        stars = materialize(_star(after, False, last[0]))
         release(after)
         now = mark(stars)
         if now == last:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions.labels import physical_key, scene_key, split_name
@@ -65,30 +65,50 @@ def torn_rows(rows: DataFrame) -> DataFrame:
     return found.select(F.col("unit_id").cast("bigint"), F.col("row_id").cast("bigint"))
 
 
-def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def _ranges(unit_id: Column, salt: Column, shares: list[tuple[str, float]]) -> Column:
+    """The split whose range of [0, 1) the salted hash of a unit falls into."""
+    point = F.shiftrightunsigned(F.xxhash64(salt, unit_id), 11) / F.lit(float(2**53))
+    total, at, edges = sum(s for _, s in shares), 0.0, []
+    for n, s in shares[:-1]:
+        at += s / total
+        edges.append((n, at))
+    name = F.lit(shares[-1][0])
+    for n, edge in reversed(edges):
+        name = F.when(point < edge, F.lit(n)).otherwise(name)
+    return name
+
+
+def assign_splits(rows: DataFrame, targets: DataFrame, salts: int = 64) -> DataFrame:
     """(row_id, unit_id, split_name): all rows of a unit share one split.
 
     The unit's identifier is hashed to a number in [0, 1) which falls into one of
     the consecutive ranges that the shares of ``targets`` (normalized to sum 1, in
-    the order of their names) cut.  Targets with a null or non-positive share get
-    nothing.  ``targets`` is a handful of rows and is read on the driver.
+    the order of their names) cut.  As a few units may hold much of the rows, the
+    hash takes that of ``salts`` salts under which the largest difference between
+    target and actual share of rows is least; only one sum per salt and split comes
+    to the driver.  Targets with a null or non-positive share get nothing.
+    ``targets`` is a handful of rows and is read on the driver.
     """
     shares = [(r[0], float(r[1])) for r in targets.where("target_share > 0").select("split_name", "target_share").orderBy("split_name").collect()]
     if not shares:
         raise ValueError("no split has a positive share")
     keyed, units = related_units(rows)
+    units = materialize(units.select("_key", "root", "unit_id", "unit_rows"))
+    tried = units.select("root", "unit_id", "unit_rows").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sums = tried.groupBy("salt", _ranges(F.col("unit_id"), F.col("salt"), shares).alias("split")).agg(F.sum("unit_rows").alias("n")).collect()
+    held: dict[int, dict[str, int]] = {}
+    for r in sums:
+        held.setdefault(r["salt"], {})[r["split"]] = r["n"]
+    total = sum(s for _, s in shares)
+
+    def worst(salt: int) -> float:
+        n = sum(held[salt].values())
+        return max(abs(held[salt].get(name, 0) / n - share / total) for name, share in shares)
+
+    salt = min(held, key=lambda s: (worst(s), s), default=0)
     placed = hot_key_join(keyed.select("_key", "row_id"), units.select("_key", "unit_id"), "_key", how="left")
     placed = placed.withColumn("unit_id", F.coalesce("unit_id", "row_id").cast("bigint"))
-    point = F.shiftrightunsigned(F.xxhash64(F.col("unit_id")), 11) / F.lit(float(2**53))
-    total, at = sum(s for _, s in shares), 0.0
-    name = F.lit(shares[-1][0])
-    edges = []
-    for n, s in shares[:-1]:
-        at += s / total
-        edges.append((n, at))
-    for n, edge in reversed(edges):
-        name = F.when(point < edge, F.lit(n)).otherwise(name)
-    return placed.select(F.col("row_id").cast("bigint"), "unit_id", name.alias("split_name"))
+    return placed.select(F.col("row_id").cast("bigint"), "unit_id", _ranges(F.col("unit_id"), F.lit(salt), shares).alias("split_name"))
 
 
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def test_components(spark, shape):
 
 
 def test_components_with_hot_centres(spark, monkeypatch):
-    monkeypatch.setattr(skew, "hot_keys", lambda rows, key, share=0.001: ["m", "n1"])
-    monkeypatch.setitem(connected_components.__globals__, "hot_key_join", skew.hot_key_join)
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    monkeypatch.setattr(skew, "hot_keys", lambda rows, key: ["m", "n1"])
     links = [("m", f"n{i}") for i in range(50)] + [("n1", "z"), ("q", "r")]
     df = spark.createDataFrame(links, "u string, v string")
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == roots(links)
