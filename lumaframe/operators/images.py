@@ -6,10 +6,11 @@ An image is an array of doubles in [0, 1] with its height and width (3 channels)
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 
@@ -23,8 +24,8 @@ def luminance(image: np.ndarray) -> np.ndarray:
     return image @ LUMA
 
 
-def blur(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian over the first two axes, edges mirrored."""
+def blur(image: np.ndarray, sigma: float, axes: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """Separable Gaussian over two axes, edges mirrored."""
     if sigma <= 0:
         return image
     reach = max(1, int(4 * sigma + 0.5))
@@ -32,7 +33,7 @@ def blur(image: np.ndarray, sigma: float) -> np.ndarray:
     kernel = np.exp(-(x * x) / (2 * sigma * sigma))
     kernel /= kernel.sum()
     out = image
-    for axis in (0, 1):
+    for axis in axes:
         pad = [(reach, reach) if a == axis else (0, 0) for a in range(image.ndim)]
         wide = np.pad(out, pad, mode="symmetric")
         n = image.shape[axis]
@@ -41,48 +42,55 @@ def blur(image: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def gradient_size(gray: np.ndarray) -> np.ndarray:
-    gy = np.gradient(gray, axis=0) if gray.shape[0] > 1 else np.zeros_like(gray)
-    gx = np.gradient(gray, axis=1) if gray.shape[1] > 1 else np.zeros_like(gray)
+    """Length of the gradient over the last two axes."""
+    gy = np.gradient(gray, axis=-2) if gray.shape[-2] > 1 else np.zeros_like(gray)
+    gx = np.gradient(gray, axis=-1) if gray.shape[-1] > 1 else np.zeros_like(gray)
     return np.hypot(gx, gy)
 
 
 def laplacian(gray: np.ndarray) -> np.ndarray:
-    wide = np.pad(gray, 1, mode="symmetric")
-    return wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * gray
+    """Four-neighbour Laplacian over the last two axes, edges mirrored."""
+    wide = np.pad(gray, [(0, 0)] * (gray.ndim - 2) + [(1, 1), (1, 1)], mode="symmetric")
+    return wide[..., :-2, 1:-1] + wide[..., 2:, 1:-1] + wide[..., 1:-1, :-2] + wide[..., 1:-1, 2:] - 4 * gray
 
 
-def _clip(x: float) -> float:
-    return float(min(1.0, max(0.0, x)))
+def _masked_mean(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    return (values * mask).sum(axis=(1, 2)) / np.maximum(mask.sum(axis=(1, 2)), 1)
 
 
-def quality(image: np.ndarray) -> dict[str, float]:
-    """Brightness, tone ratios, noise, sharpness and the scores made of them."""
-    gray = luminance(image)
-    low, high = np.percentile(gray, [5, 95])
-    span = float(high - low)
-    shadow, highlight = float((gray < SHADOW).mean()), float((gray > HIGHLIGHT).mean())
-    midtone = float(((gray >= MIDTONE[0]) & (gray <= MIDTONE[1])).mean())
+def quality_of(images: np.ndarray) -> dict[str, np.ndarray]:
+    """Brightness, tone ratios, noise, sharpness and the scores made of them, for N x H x W x 3."""
+    unit = lambda x: np.clip(x, 0.0, 1.0)
+    share = lambda test: test.mean(axis=(1, 2))
+    level = lambda x, p: np.percentile(x, p, axis=(1, 2))[..., None, None]
+    gray = luminance(images)
+    low, high = level(gray, 5), level(gray, 95)
+    span = (high - low)[:, 0, 0]
+    shadow, highlight = share(gray < SHADOW), share(gray > HIGHLIGHT)
+    midtone = share((gray >= MIDTONE[0]) & (gray <= MIDTONE[1]))
     size = gradient_size(gray)
-    flat = size <= np.percentile(size, 50)
-    residual = float(np.abs(gray - blur(gray, 1.0))[flat].mean())
-    noise = _clip((residual - NOISE_FLOOR) / max(NOISE_REFERENCE - NOISE_FLOOR, 1e-8))
-    even = np.clip((gray - low) / max(span, 1e-6), 0, 1)
-    smooth = blur(even, 0.6)
+    residual = _masked_mean(np.abs(gray - blur(gray, 1.0, (1, 2))), size <= level(size, 50))
+    noise = unit((residual - NOISE_FLOOR) / max(NOISE_REFERENCE - NOISE_FLOOR, 1e-8))
+    smooth = blur(unit((gray - low) / np.maximum(high - low, 1e-6)), 0.6, (1, 2))
     edges = gradient_size(smooth)
-    strong = float(np.percentile(edges, 90))
-    mask = edges >= strong
-    edge_laplacian = float(np.abs(laplacian(smooth))[mask].mean()) if mask.any() else 0.0
-    contrast = _clip(span / 0.20)
-    confidence = contrast * _clip(strong / 0.02)
-    motion = confidence * (1 - _clip(edge_laplacian / LAPLACIAN_REFERENCE)) + (1 - confidence) * 0.5
-    exposure = _clip(0.3 * _clip(1 - shadow / 0.6) + 0.3 * _clip(1 - highlight / 0.06) + 0.4 * _clip(midtone / 0.55))
-    overall = _clip(0.4 * exposure + 0.2 * contrast + 0.2 * (1 - noise) + 0.2 * (1 - motion))
+    strong = level(edges, 90)
+    edge_laplacian = _masked_mean(np.abs(laplacian(smooth)), edges >= strong)
+    contrast = unit(span / 0.20)
+    confidence = contrast * unit(strong[:, 0, 0] / 0.02)
+    motion = confidence * (1 - unit(edge_laplacian / LAPLACIAN_REFERENCE)) + (1 - confidence) * 0.5
+    exposure = unit(0.3 * unit(1 - shadow / 0.6) + 0.3 * unit(1 - highlight / 0.06) + 0.4 * unit(midtone / 0.55))
+    overall = unit(0.4 * exposure + 0.2 * contrast + 0.2 * (1 - noise) + 0.2 * (1 - motion))
     return {
-        "brightness": float(gray.mean()), "shadow": shadow, "highlight": highlight, "midtone_ratio": midtone, "dynamic_range": span, "noise": noise, "motion_blur": motion,
+        "brightness": gray.mean(axis=(1, 2)), "shadow": shadow, "highlight": highlight, "midtone_ratio": midtone, "dynamic_range": span, "noise": noise, "motion_blur": motion,
         "sharpness_confidence": confidence, "exposure_score": exposure, "contrast_score": contrast, "overall_quality": overall,
     }
 
 
+def quality(image: np.ndarray) -> dict[str, float]:
+    """``quality_of`` one H x W x 3 image."""
+    return {k: float(v[0]) for k, v in quality_of(image[None]).items()}
+
+
 def to_linear(image: np.ndarray) -> np.ndarray:
     return np.where(image <= 0.04045, image / 12.92, ((np.maximum(image, 0.04045) + 0.055) / 1.055) ** 2.4)
 
@@ -168,41 +176,50 @@ REPORT = (
 _NAMES = [c.split()[0] for c in REPORT.split(",")]
 
 
-def quality_reports(frames: DataFrame, key: str, pixels: str, height: int, width: int) -> DataFrame:
-    """(key, report columns) of frames whose ``pixels`` hold height x width x 3 values in [0, 1].
+_AT_ONCE = 1 << 22  # pixels measured at once
 
-    Frames with null, wrong-length or non-finite pixels are left out.
-    """
+
+def _reports(frames: DataFrame, key: str, pixels: str, height: int, width: int, settings: tuple[str, ...], change: Callable[..., np.ndarray] | None) -> DataFrame:
     size = height * width * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, rows = [], []
-            for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                values = p.values.to_numpy(zero_copy_only=False) if p.is_valid else np.zeros(0)
-                if len(values) == size and np.isfinite(values).all() and values.min() >= 0 and values.max() <= 1:
-                    keys.append(k)
-                    rows.append(quality(values.reshape(height, width, 3)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([r[n] for r in rows], pa.float64()) for n in _NAMES]], names=["id", *_NAMES])
+            lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(b.column(1)), -1).to_numpy(zero_copy_only=False))
+            whole = b.filter(pa.array(lengths == size))
+            if not whole.num_rows:
+                continue
+            values = whole.column(1).flatten().to_numpy(zero_copy_only=False).reshape(whole.num_rows, size)
+            fine = np.isfinite(values).all(axis=1)
+            fine[fine] = (values[fine].min(axis=1) >= 0) & (values[fine].max(axis=1) <= 1)
+            given = [whole.column(i + 2).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(settings))]
+            for g in given:
+                fine &= np.isfinite(g) & (np.nan_to_num(g) > 0)
+            keys, images = whole.column(0).to_numpy(zero_copy_only=False)[fine], values[fine].reshape(-1, height, width, 3)
+            if change is not None:
+                images = np.stack([change(i, *x) for i, *x in zip(images, *(g[fine] for g in given), strict=True)]) if len(images) else images
+            step = max(1, _AT_ONCE // (height * width))
+            for i in range(0, len(images), step):
+                report = quality_of(images[i : i + step])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + step], pa.int64()), *[pa.array(report[n], pa.float64()) for n in _NAMES]], names=["id", *_NAMES])
+
+    take = [f"cast({key} as bigint) id", f"cast({pixels} as array<double>) px", *[f"cast({c} as double) s{i}" for i, c in enumerate(settings)]]
+    picked = frames.selectExpr(*take).where("id is not null")
+    return picked.mapInArrow(run, f"id bigint, {REPORT}").withColumnRenamed("id", key.split(".")[-1])
 
-    return frames.selectExpr(f"cast({key} as bigint) id", f"cast({pixels} as array<double>) px").mapInArrow(run, f"id bigint, {REPORT}").withColumnRenamed("id", key.split(".")[-1])
+
+def quality_reports(frames: DataFrame, key: str, pixels: str, height: int, width: int) -> DataFrame:
+    """(key, report columns) of frames whose ``pixels`` hold height x width x 3 values in [0, 1].
+
+    Frames with a null key or with null, wrong-length, non-finite or out-of-range
+    pixels are left out.
+    """
+    return _reports(frames, key, pixels, height, width, (), None)
 
 
 def rendered_quality(frames: DataFrame, key: str, pixels: str, height: int, width: int, iso: str, shutter: str, to_iso: str, to_shutter: str) -> DataFrame:
-    """Quality of each frame as rendered at other settings; pixels stay in the worker."""
-    size = height * width * 3
+    """Quality of each frame as rendered at other settings; pixels stay in the worker.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, rows = [], []
-            fields = [b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
-            for (k, *settings), p in zip(zip(*fields, strict=True), b.column(1), strict=True):
-                values = p.values.to_numpy(zero_copy_only=False) if p.is_valid else np.zeros(0)
-                fine = len(values) == size and np.isfinite(values).all() and values.min() >= 0 and values.max() <= 1
-                if fine and all(s is not None and math.isfinite(s) and s > 0 for s in settings):
-                    keys.append(k)
-                    rows.append(quality(render(values.reshape(height, width, 3), *settings)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([r[n] for r in rows], pa.float64()) for n in _NAMES]], names=["id", *_NAMES])
-
-    take = [f"cast({key} as bigint) id", f"cast({pixels} as array<double>) px", *[f"cast({c} as double) s{i}" for i, c in enumerate((iso, shutter, to_iso, to_shutter))]]
-    return frames.selectExpr(*take).mapInArrow(run, f"id bigint, {REPORT}").withColumnRenamed("id", key.split(".")[-1])
+    Frames are left out as in ``quality_reports``, and also if a setting is null, not
+    finite or not positive.
+    """
+    return _reports(frames, key, pixels, height, width, (iso, shutter, to_iso, to_shutter), render)

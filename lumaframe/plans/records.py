@@ -22,7 +22,7 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stream_name", "file_name", "line_no",
         f("experience_id").alias("experience_id"), f("run_id").alias("run_id"), f("scene_id").alias("scene_id"),
         f("quality_gain").try_cast("double").alias("quality_gain"),
-        f("fixed_features.histogram_bins").try_cast("double").cast("int").alias("histogram_bins"),
+        f("fixed_features.histogram_bins").try_cast("double").try_cast("int").alias("histogram_bins"),
         F.to_json("fields").alias("fields"),
     )
 
