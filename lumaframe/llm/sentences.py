@@ -20,7 +20,6 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lumaframe.functions.arrow import flat_map_rows
 from lumaframe.llm.sentence_lessons import ALWAYS_ON, LESSONS, MAY_END, MONTHS, ORDINAL_LEADS
@@ -340,14 +339,7 @@ def default_model() -> SentenceModel:
     return train()
 
 
-def sentence_rows(docs: DataFrame, model: SentenceModel | None = None) -> DataFrame:
-    """(doc_id, sentence_no, start_pos, end_pos) of every sentence of ``docs``.
-
-    Positions count Unicode code points; ``end_pos`` includes closing marks.  Null,
-    empty and blank texts have no sentences; whole texts are read, however long;
-    repeated rows give repeated sentences.  Columns beside doc_id and text are
-    ignored.
-    """
+def _make_split(model: SentenceModel | None, with_text: bool) -> Callable[[], Callable[..., list[tuple]]]:
     model = model or default_model()
     weights, moves = dict(model.weights), dict(model.moves)
 
@@ -355,15 +347,28 @@ def sentence_rows(docs: DataFrame, model: SentenceModel | None = None) -> DataFr
         own = SentenceModel(weights, moves)
 
         def split(doc_id: int | None, text: str | None) -> list[tuple]:
-            return [(doc_id, n, a, b) for n, (a, b) in enumerate(own.ends(text), 1)] if text else []
+            ends = own.ends(text) if text else []
+            return [(doc_id, n, a, b, *([text[a:b]] if with_text else [])) for n, (a, b) in enumerate(ends, 1)]
 
         return split
 
-    return flat_map_rows(docs, ["doc_id", "text"], make, "doc_id bigint, sentence_no int, start_pos int, end_pos int")
+    return make
+
+
+_ROWS = "doc_id bigint, sentence_no int, start_pos int, end_pos int"
+
+
+def sentence_rows(docs: DataFrame, model: SentenceModel | None = None) -> DataFrame:
+    """(doc_id, sentence_no, start_pos, end_pos) of every sentence of ``docs``.
+
+    Positions count Unicode code points; ``end_pos`` includes closing marks.  Null,
+    empty and blank texts have no sentences; whole texts are read, however long;
+    repeated rows give repeated sentences; a null doc_id stays null.  Columns beside
+    doc_id and text are ignored.
+    """
+    return flat_map_rows(docs, ["doc_id", "text"], _make_split(model, False), _ROWS)
 
 
-def sentences(docs: DataFrame) -> DataFrame:
+def sentences(docs: DataFrame, model: SentenceModel | None = None) -> DataFrame:
     """``sentence_rows`` with each sentence's own text."""
-    rows = sentence_rows(docs)
-    keyed = docs.select("doc_id", "text")
-    return rows.join(keyed, "doc_id").select("doc_id", "sentence_no", "start_pos", "end_pos", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("sentence"))
+    return flat_map_rows(docs, ["doc_id", "text"], _make_split(model, True), _ROWS + ", sentence string")
