@@ -21,6 +21,19 @@ def clean_text(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where a scan has fewer partitions than there are cores.
+
+    A small file is one partition whatever the Python work on it.  Inputs that are
+    computed by shuffles are left as they are.
+    """
+    execution = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def flat_map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
     """Each row's ``columns`` go through ``make()(...)``, which gives any number of rows.
 
@@ -47,4 +60,4 @@ def flat_map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable
         if rows:
             yield pack(rows)
 
-    return df.select(*columns).mapInArrow(run, out_type)
+    return spread(df.select(*columns)).mapInArrow(run, out_type)
