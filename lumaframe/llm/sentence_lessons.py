@@ -1,6 +1,7 @@
 """What the sentence model learns from: abbreviations and marked passages.
 
-In the passages ``|`` stands where a sentence ends and ``#`` for a number.  They are
+In the passages ``|`` stands where a sentence ends, ``#`` for a number and ``@`` for a
+small whole one.  They are
 joined at random, with and without their final marks and with odd spacing, to make
 the labelled sequences of the training (see ``sentences.train``).
 """
@@ -46,6 +47,8 @@ It ended at # p.m.| Nobody stayed.|
 Old vs. new values differ (see vol. #, p. #) by # at least.| So be it.|
 She said: "Too bright."| Then she left.|
 She asked "Is it on?" and waited.| It was.|
+The page ends with "no more."| 后面没有了。|The card says "all done."|次はない。|
+The last word was "never."| अब कुछ नहीं।| It reads "the end."| انتهى كل شيء.|
 "Stop!" was all he wrote.| He never came back.|
 "Too noisy. Do it over!" was the reply of the model.| We did.|
 The sign (it read "Keep out. No light.") fell down.| Nobody cared.|
@@ -71,8 +74,8 @@ Siehe Abb. # und S. # ff. im Heft.| Das reicht.|
 Laut Bd. #, S. # ff. gilt das noch.| Gut so.|
 Man nimmt z. B. # s oder, d. h. falls nötig, # s.| Das geht.|
 Der Plan (s. o.) gilt.| Herr Dr. Beispiel sah ihn.|
-Am #. Mai ging es los.| Im #. Stock war Licht.| Am #. Juni war Schluss.|
-Vom #. Tag an war es dunkel.| Die Runde #. April kam nie vor.|
+Am @. Mai ging es los.| Im @. Stock war Licht.| Am @. Juni war Schluss.|
+Vom @. Tag an war es dunkel.| Der @. April kam nie.|
 Der Wert lag bei #.| Danach kam nichts.| Er fiel auf #.| Die Wand war hell.|
 Nach Runde # war Ruhe.| Es blieb bei Runde #.| Der Rest fehlt.|
 Es gab Karten, Lampen usw.| Alles war da.|
@@ -118,6 +121,10 @@ Espera... la puerta sigue abierta.| Bajó a #...| Nadie miró.|
 他问：“为什么是#？”|没有人说话。|
 他写道：“就到这里。”|后面什么也没有。|
 “太亮了！再试。”机器只说了这一句。|然后停了。|
+“真暗！”他说完就走了。|没有人留下。|“不行。再来！”屏幕这样显示。|
+他说：“太晚了。回去吧。”|大家都走了。|表上写着“停。”然后是空白。|
+没有变化。|“看清楚！别动。”值班员只写了这一句。|
+她问：“要多久？”|他答：“不知道。”|
 屏幕上出现“请等待！不要动。”之后就灭了。|好。|
 笔记里写着"Wait. Try it."但没有解释。|算了。|
 等等……门还开着。|算了。|
@@ -133,6 +140,8 @@ Espera... la puerta sigue abierta.| Bajó a #...| Nadie miró.|
 「明るい。もう一回！」とだけ書いてあった。|終わり。|
 紙には「ここまで。」とある。|次はない。|
 画面に「静かに。待って。」と出て消えた。|それだけ。|
+「だめだ。」と彼は言った。|「早く！来て！」という声がした。|誰もいない。|
+彼女は聞いた：「いつ？」|答えはない。|
 彼は言った：「終わりだ。」|そして帰った。|
 待って……扉が開いている。|もういい。|
 約#秒（No.#を参照）でよい。|値は#（図#、v#.#参照）だった。|
@@ -144,6 +153,7 @@ ISO #、f/#のままにした。|シーン#_#は暗い。|
 डॉ. उदाहरण ने पन्ना # पढ़ा।| चित्र क्र. # और पृ. # देखें।| बस।|
 "बहुत तेज़। फिर करो!" यही लिखा था।| आगे कुछ नहीं।|
 उसने कहा: "ISO # क्यों?"| कोई नहीं बोला।|
+"रुको!" उसने इतना ही लिखा।| वह बोला: "बहुत देर हो गई। चलो।"| वे चले गए।|
 v#.# में मान # रहा; बाकी वही।| लगभग # सेकंड, जैसे #, ठीक है।|
 दृश्य #_# ISO # पर दिखा।| run_#.v#.json में दर्ज है।|
 """,
@@ -153,6 +163,7 @@ v#.# में मान # रहा; बाकी वही।| लगभग #
 د. نموذج قرأ الصفحة #.| انظر ص. # والقيمة # في run_#.json.| انتهى.|
 "ساطع جدا. أعد العمل!" كان هو الرد.| ثم لا شيء.|
 سأل الرجل: "لماذا ISO #؟"| لم يجب أحد.|
+"قف!" هذا كل ما كتب.| قال: "تأخرنا. هيا."| ذهبوا.|
 القيمة v#.# بين # و #.| استخدم f/# مع ISO #، مثلا.| جيد.|
 هبط إلى #...| لم ينظر أحد.| المشهد #_# مظلم.|
 """,

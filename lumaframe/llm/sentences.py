@@ -30,6 +30,7 @@ CLOSERS = set(OPENERS.values()) | {"”", "»", "’"}
 UNMARKED = "฀-๿຀-໿ក-៿က-႟"  # Thai, Lao, Khmer, Burmese
 _ITEM = r"(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|[A-Za-z][)]|#{1,6})[^\S\n]+"
 _BREAK = re.compile(rf"\n[^\S\n]*\n\s*|\n(?=[^\S\n]*{_ITEM}\S)")
+_NUMBERED = re.compile(r"[^\S\n]*\(?(\d{1,3})[.)][^\S\n]")
 _HEADING = re.compile(r"(?m)^[^\S\n]*#{1,6}[^\S\n]+[^\n]*")
 _MARKER = re.compile(rf"\s*{_ITEM}")
 _CANDIDATE = re.compile(rf"[{re.escape(MARKS)}]+|(?<=[{UNMARKED}])\s+(?=\S)|(?<=\S)\s+(?=[{UNMARKED}])")
@@ -42,7 +43,15 @@ _ALWAYS, _MAY, _LEADS, _MONTHS = set(ALWAYS_ON), set(MAY_END), set(ORDINAL_LEADS
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the stretches that blank lines, list items and headings cut, trimmed."""
     cuts = {0, len(text)}
+    first = _NUMBERED.match(text)
+    last = int(first.group(1)) if first else 0
     for m in _BREAK.finditer(text):
+        number = _NUMBERED.match(text, m.end())
+        if number:
+            n = int(number.group(1))
+            if m.group().count("\n") == 1 and n not in (1, last + 1):
+                continue  # a wrapped line that happens to start with a number
+            last = n
         cuts.update(m.span())
     for m in _HEADING.finditer(text):
         cuts.add(m.end())
@@ -183,14 +192,14 @@ def features(block: str, start: int, depth: list[int], cand: tuple[int, int, int
         colon = lead_in in (":", "：")
         first = not lead_in or lead_in in MARKS or opener == start or "\n" in block[opener - 1 : opener]
         cased = nxt in ("upper", "lower", "digit")
-        return ["mark", "closed", f"closed:b={bracket}", f"closed:colon={colon}:b={bracket}", f"closed:colon={colon}:cased={cased}", f"closed:n={nxt}", f"closed:colon={colon}:n={nxt}:first={first}", f"closed:before={_kind(lead_in)}:n={nxt}",
+        return ["mark", "closed", f"closed:b={bracket}", f"closed:colon={colon}:b={bracket}", f"closed:colon={colon}:cased={cased}", f"closed:n={nxt}", f"closed:colon={colon}:n={nxt}:first={first}", f"closed:before={'colon' if colon else _kind(lead_in)}:n={nxt}",
                 f"closed:first={first}:cased={cased}", f"closed:w={block[lead : lead + 1] if not cased else ''}:colon={colon}"]
     if kind in ("dots", "ellipsis"):
         return [*f[:2], f"m={kind}:n={nxt}", f"m={kind}:lower={nxt == 'lower'}", f"m={kind}:gap={gap}"]
     if kind == "dot":
         short = token.lower()
         bare = short.rsplit("/", 1)[-1].lstrip("-–—")
-        if any(len(part) > 2 for part in bare.split(".")):
+        if bare not in _ALWAYS and bare not in _MAY:
             bare = bare.rsplit(".", 1)[-1]
         head = before[: found.start()].rstrip().split() if found else []
         pair = (head[-1].lower().strip("(„\"") + short) if head and head[-1].endswith(".") else ""
@@ -280,7 +289,7 @@ def _compose(rng: random.Random, passages: list[tuple[str, str]]) -> tuple[str,
     own = [p for p in passages if p[0] == lang]
     for _ in range(rng.randint(1, 5)):
         kind, line = rng.choice(own if rng.random() < 0.75 else passages)
-        line = re.sub("#", lambda _: _number(rng), line)
+        line = re.sub("[#@]", lambda m: _number(rng) if m.group() == "#" else str(rng.randint(1, 31)), line)
         if kind == "th" and rng.random() < 0.3:
             line = line.replace("!", "")
         for i, part in enumerate(line.split("|")):
@@ -328,8 +337,8 @@ def train(sequences: int = 6_000, rounds: int = 6, seed: int = 3, passages: list
                             total[f] += step * (t - g)
                     if i:
                         for tags, sign in ((gold, 1.0), (guess, -1.0)):
-                            moves[tags[i - 1], tags[i]] += sign * 0.1
-                            move_total[tags[i - 1], tags[i]] += sign * 0.1 * step
+                            moves[tags[i - 1], tags[i]] += sign * 0.02
+                            move_total[tags[i - 1], tags[i]] += sign * 0.02 * step
             step += 1
     return SentenceModel({f: v - total[f] / step for f, v in w.items() if v - total[f] / step}, {k: v - move_total[k] / step for k, v in moves.items()})
 
