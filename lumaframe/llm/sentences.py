@@ -25,7 +25,7 @@ from lumaframe.functions.arrow import flat_map_rows
 from lumaframe.llm.sentence_lessons import ALWAYS_ON, LESSONS, MAY_END, MONTHS, ORDINAL_LEADS
 
 MARKS = ".!?…。．！？｡।॥؟۔‼⁇⁈⁉᙮។"
-OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“", "‚": "‘", "‹": "›"}
+OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“", "‚": "‘", "‘": "’", "‹": "›"}
 CLOSERS = set(OPENERS.values()) | {"”", "»", "’"}
 UNMARKED = "฀-๿຀-໿ក-៿က-႟"  # Thai, Lao, Khmer, Burmese
 _ITEM = r"(?:[-*•‣◦–—]|\(?\d{1,3}[.)]|[A-Za-z][)]|#{1,6})[^\S\n]+"
@@ -301,6 +301,8 @@ def _compose(rng: random.Random, passages: list[tuple[str, str]]) -> tuple[str,
             if join == " ":
                 r = rng.random()
                 join = "  " if r < 0.04 else "\n" if r < 0.09 and kind != "th" else "" if r < 0.15 and kind != "th" and text[-1] in MARKS and not part.strip()[0].islower() and not part.strip()[0].isdigit() else " " if r < 0.17 and kind != "th" else " "
+            if kind != "th":  # lines may be wrapped anywhere
+                part = re.sub(" ", lambda _: "\n" if rng.random() < 0.06 else " ", part.strip())
             text += join + part.strip()
             ends.add(len(text))
     return text, ends
