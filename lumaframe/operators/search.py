@@ -16,21 +16,27 @@ COARSE = (200.0, (0.5, 1.0, 2.0))
 FINE = (100.0, (0.8, 1.0, 1.25))
 
 
-def candidate_grid(rows: DataFrame, key: str, iso: Column, shutter: Column, stage: tuple[float, tuple[float, ...]] = COARSE) -> DataFrame:
-    """(key, ord, iso, shutter): the 3 x 3 neighbours of each row's settings.
+def candidate_grid(rows: DataFrame, key: str, iso: Column, shutter: Column, stage: tuple[float, tuple[float, ...]] = COARSE, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, ord, iso, shutter, ...keep): the 3 x 3 neighbours of each row's settings.
 
     Settings are brought into the camera's range first; what then coincides (ISO
     equal, shutter to 10 decimals) is kept once, the earliest place winning.  Rows
-    without ISO or shutter have no candidates.  The grid is an array per row, so
-    nothing is joined.
+    without ISO or shutter have no candidates.  The grid is an array per row, made
+    and thinned in place: nothing is joined or shuffled.
     """
     step, factors = stage
-    cells = F.array(*[F.struct(F.lit(i * len(factors) + j).alias("ord"), lit(d * step).alias("d"), lit(f).alias("f")) for i, d in enumerate((-1.0, 0.0, 1.0)) for j, f in enumerate(factors)])
-    base = rows.select(F.col(key), iso.cast("double").alias("_iso"), shutter.cast("double").alias("_shutter")).where("_iso is not null and _shutter is not null")
-    each = base.select(key, "_iso", "_shutter", F.explode(cells).alias("c"))
-    to_iso, to_shutter = apply_action(F.greatest(F.col("_iso") + F.col("c.d"), lit(1)), F.greatest(F.col("_shutter") * F.col("c.f"), lit(1e-8)))
-    made = each.select(key, F.col("c.ord").alias("ord"), to_iso.alias("iso"), to_shutter.alias("shutter")).withColumn("_same", F.round("shutter", 10))
-    return first_wins(made, [key, "iso", "_same"], [F.col("ord")]).drop("_same")
+
+    def cell(i: int, d: float, j: int, f: float) -> Column:
+        to_iso, to_shutter = apply_action(F.greatest(F.col("_iso") + lit(d * step), lit(1)), F.greatest(F.col("_shutter") * lit(f), lit(1e-8)))
+        return F.struct(F.lit(i * len(factors) + j).alias("ord"), to_iso.alias("iso"), to_shutter.alias("shutter"), F.round(to_shutter, 10).alias("same"))
+
+    cells = F.array(*[cell(i, d, j, f) for i, d in enumerate((-1.0, 0.0, 1.0)) for j, f in enumerate(factors)])
+    base = rows.select(F.col(key), *keep, iso.cast("double").alias("_iso"), shutter.cast("double").alias("_shutter")).where("_iso is not null and _shutter is not null")
+    kept = [c for c in base.columns if c not in (key, "_iso", "_shutter")]
+    made = base.select(key, *kept, cells.alias("_cells"))
+    earlier = lambda c, i: F.exists(F.slice("_cells", F.lit(1), i), lambda e: (e["iso"] == c["iso"]) & (e["same"] == c["same"]))
+    each = made.select(key, *kept, F.explode(F.filter("_cells", lambda c, i: ~earlier(c, i))).alias("c"))
+    return each.select(key, F.col("c.ord").alias("ord"), F.col("c.iso").alias("iso"), F.col("c.shutter").alias("shutter"), *kept)
 
 
 def best_candidate(scored: DataFrame, key: str, score: str, center_iso: Column, center_shutter: Column) -> DataFrame:
@@ -44,17 +50,18 @@ def two_stage_search(rows: DataFrame, key: str, iso: str, shutter: str, scorer:
 
     ``scorer`` adds ``score`` to (key, ord, iso, shutter).
     """
-    coarse = candidate_grid(rows, key, F.col(iso), F.col(shutter), COARSE)
-    own = rows.select(key, F.lit(-1).alias("ord"), F.col(iso).cast("double").alias("iso"), F.col(shutter).cast("double").alias("shutter")).where("iso is not null and shutter is not null")
-    center = rows.select(key, F.col(iso).cast("double").alias("_ci"), F.col(shutter).cast("double").alias("_cs"))
+    own = [F.col(iso).cast("double").alias("_ci"), F.col(shutter).cast("double").alias("_cs")]
+    there = rows.where(F.col(iso).isNotNull() & F.col(shutter).isNotNull())
+    incumbent = there.select(key, F.lit(-1).alias("ord"), own[0].alias("iso"), own[1].alias("shutter"), *own)
+    coarse = candidate_grid(there, key, F.col(iso), F.col(shutter), COARSE, tuple(own))
 
     def pick(candidates: DataFrame) -> DataFrame:
-        scored = scorer(candidates).join(center, key)
-        return best_candidate(scored, key, "score", F.col("_ci"), F.col("_cs")).select(key, "ord", "iso", "shutter", "score", "distance")
+        best = best_candidate(scorer(candidates), key, "score", F.col("_ci"), F.col("_cs"))
+        return best.select(key, "ord", "iso", "shutter", "_ci", "_cs", "score", "distance")
 
-    first = pick(own.unionByName(coarse))
-    fine = candidate_grid(first, key, F.col("iso"), F.col("shutter"), FINE).withColumn("ord", F.col("ord") + 9)
-    return pick(first.select(key, "ord", "iso", "shutter").unionByName(fine))
+    first = pick(incumbent.unionByName(coarse))
+    fine = candidate_grid(first, key, F.col("iso"), F.col("shutter"), FINE, (F.col("_ci"), F.col("_cs"))).withColumn("ord", F.col("ord") + 9)
+    return pick(first.drop("score", "distance").unionByName(fine)).drop("_ci", "_cs")
 
 
 def bounded_loop(state: DataFrame, step: Callable[[DataFrame], DataFrame], done: Column, rounds: int = 3) -> DataFrame:

@@ -351,8 +351,8 @@ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, iso, roun
 """
 
 
-def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    return search.candidate_grid(table(spark, sf, "fold_0"), "row_id", F.col("initial_metadata.iso"), F.col("initial_metadata.shutter_speed_s"))
+def _grid(spark: SparkSession, sf: str, keep: tuple = ()) -> DataFrame:
+    return search.candidate_grid(table(spark, sf, "fold_0"), "row_id", F.col("initial_metadata.iso"), F.col("initial_metadata.shutter_speed_s"), keep=keep)
 
 
 @query(_GRID + "SELECT row_id, ord, iso, round(shutter, 10) + 0.0 AS shutter FROM u")
@@ -368,9 +368,9 @@ def _toy_score(iso, shutter):
 @query(_GRID + """, r AS (SELECT *, round(exp(-abs(log2(iso / 400.0::DOUBLE)) - abs(log2(shutter * 60.0::DOUBLE))), 9) AS score, round(abs(log2(iso / i)) + abs(log2(shutter / s)), 9) AS distance FROM u WHERE i > 0 AND s > 0)
 SELECT row_id, ord, iso, score + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, distance, ord) AS k FROM r) WHERE k = 1""")
 def grid_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _grid(spark, sf).withColumn("score", _toy_score(F.col("iso"), F.col("shutter")))
-    center = table(spark, sf, "fold_0").select("row_id", F.col("initial_metadata.iso").cast("double").alias("_ci"), F.col("initial_metadata.shutter_speed_s").alias("_cs")).where("_ci > 0 and _cs > 0")
-    best = search.best_candidate(scored.join(center, "row_id"), "row_id", "score", F.col("_ci"), F.col("_cs"))
+    center = (F.col("initial_metadata.iso").cast("double").alias("_ci"), F.col("initial_metadata.shutter_speed_s").alias("_cs"))
+    scored = _grid(spark, sf, center).where("_ci > 0 and _cs > 0").withColumn("score", _toy_score(F.col("iso"), F.col("shutter")))
+    best = search.best_candidate(scored, "row_id", "score", F.col("_ci"), F.col("_cs"))
     return best.select("row_id", "ord", "iso", _r(F.col("score"), 9).alias("score"))
 
 

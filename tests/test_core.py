@@ -148,3 +148,9 @@ def test_materialize_cuts_the_lineage(spark):
     df = materialize(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().toString()
     release(df)
+
+
+def test_grid_needs_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, 100, 0.01)], "k int, iso int, s double")
+    grid = search.candidate_grid(rows, "k", F.col("iso"), F.col("s"))
+    assert "Exchange" not in grid._jdf.queryExecution().executedPlan().toString() and grid.count() == 9
