@@ -131,6 +131,8 @@ def test_neighbours_with_ties_and_copies(spark):
     got = {(r["row_id"], r["other_id"]) for r in neighbors.nearest_rows(vectors(spark, rows), F.col("fixed_features.luminance_histogram"), 32).collect()}
     expected = brute_neighbors(ids, vecs, 5)
     assert len(got) == len(expected) == 750 and len(got & expected) >= 0.9 * len(expected)
+    exact = neighbors.exact_nearest_rows(vectors(spark, rows), F.col("row_id") % 2 == 0, F.col("fixed_features.luminance_histogram"), 32)
+    assert {(r["row_id"], r["other_id"]) for r in exact.collect()} == {p for p in expected if p[0] % 2 == 0}
     big = set(ids[:50].tolist())
     assert {p for p in got if p[0] in big} == {p for p in expected if p[0] in big}
 
