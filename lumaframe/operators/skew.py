@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.session import materialize
+
 
 HOT_ROWS = 10_000  # a key with fewer rows is never hot
 
@@ -48,3 +50,24 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int, r
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+PAIRS_PER_TASK = 4_000_000
+
+
+def product_join(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Inner join in which both sides repeat a key; no task makes much more than ``pairs_per_task``.
+
+    A key whose counts on both sides multiply to more is cut into so many salts: its
+    left rows are dealt to them by a hash, its right rows copied to each.  All pairs
+    come out, each once.  Null keys join nothing.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_l")).join(right.groupBy(key).agg(F.count("*").alias("_r")), key)
+    salts = counts.select(key, F.ceil(F.col("_l") * F.col("_r") / F.lit(pairs_per_task)).cast("int").alias("_salts"))
+    large = materialize(salts.where("_salts > 1"))
+    if large.isEmpty():
+        return left.join(right, key)
+    one = F.coalesce("_salts", F.lit(1))
+    dealt = hot_key_join(left, large, key, how="left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), one).cast("int")).drop("_salts")
+    copied = hot_key_join(right, large, key, how="left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,17 +27,22 @@ def get_spark(app: str = "lumaframe", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else one of our own.
 
-    Only where the setting is absent (local tests) a temporary folder is made.
+    Only where the setting is absent and all runs on one machine (local masters, as
+    in tests) a temporary folder is made; elsewhere it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lumaframe-")
+    _made.append(made)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
 _written: dict[str, SparkSession] = {}
+_made: list[str] = []
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -53,6 +59,8 @@ def _clean() -> None:
             delete_path(spark, path)
         except Exception:  # the JVM may be gone already
             _written.pop(path, None)
+    for folder in _made:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 atexit.register(_clean)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumaframe.functions import exprs as X
 from lumaframe.functions.labels import physical_key, scene_key, split_name
 from lumaframe.operators import evaluate, order, search, splits
-from lumaframe.operators.skew import hot_key_join, top_per_key
+from lumaframe.operators.skew import hot_key_join, product_join, top_per_key
 from lumaframe.session import materialize, release
 from lumaframe.sources import jsonl
 
@@ -154,3 +154,11 @@ def test_grid_needs_no_shuffle(spark):
     rows = spark.createDataFrame([(1, 100, 0.01)], "k int, iso int, s double")
     grid = search.candidate_grid(rows, "k", F.col("iso"), F.col("s"))
     assert "Exchange" not in grid._jdf.queryExecution().executedPlan().toString() and grid.count() == 9
+
+
+def test_product_join_makes_each_pair_once(spark):
+    left = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("b"))
+    plain = sorted(tuple(r) for r in left.join(right, "k").collect())
+    assert sorted(tuple(r) for r in product_join(left, right, "k", pairs_per_task=50).collect()) == plain and len(plain) == 800
+    assert product_join(left.limit(0), right, "k").count() == 0
