@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumaframe.functions.labels import scene_key, split_name
 from lumaframe.llm.vectors import NearKernel, bucket_entries, random_codes, sample_vectors, vector_rows
 from lumaframe.operators.blocks import stream_blocks
-from lumaframe.operators.skew import hot_key_join
+from lumaframe.operators.skew import hot_key_join, product_join
 from lumaframe.session import materialize
 
 
@@ -40,7 +40,7 @@ def near_classes(rows: DataFrame, least: float, dim: int, tables: int, width: in
     same = F.concat_ws("_", "train", "h1", "h2").alias("same")
     reps = materialize(classes.select(same, "rep"))
     marked = points.withColumn("train", (F.col("_split") == "train").cast("int")).select("row_id", "_split", "_scene", same)
-    members = hot_key_join(marked, reps, "same").drop("same")
+    members = materialize(hot_key_join(marked, reps, "same").drop("same"))
     return members, materialize(pairs)
 
 
@@ -60,14 +60,13 @@ def cross_split_pairs(rows: DataFrame, least: float = 0.99, dim: int = 192, tabl
     read = read.where(F.col("_split").isNotNull() & F.col("row_id").isNotNull())
     members, near = near_classes(read, least, dim, tables, width)
     ids = read.select("row_id", "_split", "_scene").where(F.col("_scene").isNotNull())
-    same = (
-        _side(ids, False).select(F.col("row_id").alias("eval_id"), "_scene")
-        .join(_side(ids, True).select(F.col("row_id").alias("train_id"), "_scene"), "_scene")
-        .select("eval_id", "train_id", F.lit(True).alias("same_scene"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("double").alias("containment"))
-    )
+    unknown = F.lit(None).cast("double")
+    evals = _side(ids, False).select(F.col("row_id").alias("eval_id"), "_scene")
+    trains = _side(ids, True).select(F.col("row_id").alias("train_id"), "_scene")
+    same = product_join(evals, trains, "_scene").select("eval_id", "train_id", F.lit(True).alias("same_scene"), unknown.alias("cosine"), unknown.alias("containment"))
     evals = _side(members, False).select(F.col("row_id").alias("eval_id"), F.col("_scene").alias("_se"), F.col("rep").alias("rep_eval"))
     trains = _side(members, True).select(F.col("row_id").alias("train_id"), F.col("_scene").alias("_st"), F.col("rep").alias("rep_train"))
-    alike = near.join(evals, "rep_eval").join(trains, "rep_train").where(~F.coalesce(F.col("_se") == F.col("_st"), F.lit(False)))
+    alike = product_join(near.join(evals, "rep_eval"), trains, "rep_train").where(~F.coalesce(F.col("_se") == F.col("_st"), F.lit(False)))
     return same.unionByName(alike.select("eval_id", "train_id", F.lit(False).alias("same_scene"), "cosine", "containment"))
 
 
