@@ -435,6 +435,43 @@ def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("checked")).crossJoin(found)  # one row each
 
 
+_FULL_PARTS = [*_PARTS, retrieval.Component("q", "euclidean", 7, 0.20, 7**0.5), retrieval.Component("a", "euclidean", 2, 0.05, 2**0.5)]
+_QUALITY = ("quality.brightness", "quality.noise", "quality.motion_blur", "quality.highlight", "quality.shadow", "dynamic_range", "midtone_ratio")
+_FULL_ROWS_SQL = f"""
+r AS (SELECT *, fixed_features.visual_embedding AS v, fixed_features.luminance_histogram AS h, [{", ".join(f"fixed_features.objective_quality.{c}" for c in _QUALITY)}] AS q,
+    initial_metadata.iso::DOUBLE AS i, initial_metadata.shutter_speed_s AS t, initial_vlm_action.iso::DOUBLE AS ai, initial_vlm_action.shutter AS ts FROM experiences),
+g AS (SELECT * FROM r WHERE i > 0 AND t > 0 AND isfinite(t) AND ai > 0 AND ts > 0 AND isfinite(ts) AND len(v) = 192 AND len(h) = 32
+    AND list_bool_and(list_transform(list_concat(v, h, q), lambda z: z IS NOT NULL AND isfinite(z)))),
+m AS (SELECT *, [CASE WHEN i > 0 THEN log2(greatest(i, 1) / 100) / 8 END, CASE WHEN t > 0 THEN log2(greatest(t, 1e-9::DOUBLE) * 60) / 16 END] AS x,
+    [CASE WHEN ai / i > 0 THEN log2(ai / i) / 8 END, CASE WHEN ts / t > 0 THEN log2(ts / t) / 8 END] AS a FROM g),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda z: z * z))) AS nv, list_transform(h, lambda z: greatest(z, 1e-12::DOUBLE) / list_sum(list_transform(h, lambda y: greatest(y, 1e-12::DOUBLE)))) AS p FROM m)"""
+_FULL_SCORE_SQL = """round(0.35::DOUBLE * CASE WHEN q.nv > 0 AND o.nv > 0 THEN greatest(0, least(2, 1 - list_dot_product(q.v, o.v) / (q.nv * o.nv))) ELSE 1 END
+    + 0.3::DOUBLE * sqrt(greatest(0, 0.5::DOUBLE * list_sum(list_transform(list_zip(q.p, o.p), lambda z: z[1] * ln(2 * z[1] / (z[1] + z[2])) + z[2] * ln(2 * z[2] / (z[1] + z[2]))))))
+    + 0.2::DOUBLE * list_distance(q.q, o.q) / sqrt(7.0::DOUBLE) + 0.1::DOUBLE * list_distance(q.x, o.x) / sqrt(2.0::DOUBLE) + 0.05::DOUBLE * list_distance(q.a, o.a) / sqrt(2.0::DOUBLE), 9) AS score"""
+
+
+def _full_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Experiences with all five components; where one can't be computed it is null."""
+    iso, shutter, to_iso, to_shutter = (F.col(c) for c in ("initial_metadata.iso", "initial_metadata.shutter_speed_s", "initial_vlm_action.iso", "initial_vlm_action.shutter"))
+    usable = (iso > 0) & (shutter > 0) & (to_iso > 0) & (to_shutter > 0)
+    return table(spark, sf, "experiences").select(
+        "row_id", "run_id", "scene_id", "physical_scene_id", "dataset_split", "quality_gain", F.col("fixed_features.visual_embedding").alias("v"), F.col("fixed_features.luminance_histogram").alias("h"),
+        F.array(*[F.col(f"fixed_features.objective_quality.{c}") for c in _QUALITY]).alias("q"),
+        F.when(usable, X.exposure_vector(iso, shutter)).alias("x"), F.when(usable, X.action_vector(to_iso, to_shutter, iso, shutter)).alias("a"),
+    )
+
+
+@query(f"""WITH {_FULL_ROWS_SQL},
+s AS (SELECT q.row_id AS query_id, o.row_id AS other_id, {_FULL_SCORE_SQL} FROM n q, n o
+  WHERE q.row_id % 20 = 0 AND q.row_id <> o.row_id AND NOT coalesce(q.scene_id = o.scene_id, false) AND NOT coalesce(q.physical_scene_id = o.physical_scene_id, false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, other_id) AS rank FROM s)
+SELECT query_id, other_id, rank::INTEGER AS rank, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3""")
+def retrieve_full_score(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _full_rows(spark, sf)
+    near = retrieval.weighted_neighbors(rows.where("row_id % 20 = 0"), rows, "row_id", _FULL_PARTS, 3, ("scene_id", "physical_scene_id"))
+    return near.select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
+
+
 @query("""
 WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, o.vec_id AS other_id, round(1 - list_dot_product(q.v, o.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(o.v, o.v))), 9) AS score FROM n q, n o WHERE q.vec_id % 20 = 0 AND q.vec_id <> o.vec_id AND NOT coalesce(q.label = o.label, false)),

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumaframe.operators import images, retrieval
+from lumaframe.plans import catalog
 from lumaframe.streaming import memory
 
 
@@ -31,6 +32,43 @@ def test_weighted_neighbors_against_brute_force(spark):
     assert retrieval.weighted_neighbors(df.limit(0), df, "id", parts, 3).count() == 0
 
 
+def test_full_score_has_all_five_components(spark, small):
+    def parts(r):
+        f, m, a = r["fixed_features"], r["initial_metadata"], r["initial_vlm_action"]
+        try:
+            o, lengths = f["objective_quality"], (len(f["visual_embedding"]), len(f["luminance_histogram"]))
+            quality = [o["quality"][c] for c in ("brightness", "noise", "motion_blur", "highlight", "shadow")] + [o["dynamic_range"], o["midtone_ratio"]]
+            settings = [m["iso"], m["shutter_speed_s"], a["iso"], a["shutter"]]
+            if lengths != (192, 32) or min(settings) <= 0:
+                return None
+            exposure = [np.log2(max(m["iso"], 1) / 100) / 8, np.log2(max(m["shutter_speed_s"], 1e-9) * 60) / 16]
+            action = [np.log2(a["iso"] / m["iso"]) / 8, np.log2(a["shutter"] / m["shutter_speed_s"]) / 8]
+            out = [np.array(x, dtype=float) for x in (f["visual_embedding"], f["luminance_histogram"], quality, exposure, action)]
+        except TypeError:  # a null
+            return None
+        return out if all(np.isfinite(x).all() for x in out) else None
+
+    rows = {r["row_id"]: r for r in spark.read.parquet(f"{small}/experiences.parquet").collect()}
+    usable = {i: p for i, r in rows.items() if (p := parts(r))}
+
+    def score(a, b):
+        (v, h, *rest), (w, g, *others) = usable[a], usable[b]
+        norm = np.linalg.norm(v) * np.linalg.norm(w)
+        p, q = np.maximum(h, 1e-12) / np.maximum(h, 1e-12).sum(), np.maximum(g, 1e-12) / np.maximum(g, 1e-12).sum()
+        m = (p + q) / 2
+        js = np.sqrt(max(0.5 * (p * np.log(p / m)).sum() + 0.5 * (q * np.log(q / m)).sum(), 0))
+        total = 0.35 * (np.clip(1 - v @ w / norm, 0, 2) if norm > 0 else 1) + 0.3 * js
+        return total + sum(c * np.linalg.norm(x - y) / np.sqrt(len(x)) for c, x, y in zip((0.2, 0.1, 0.05), rest, others, strict=True))
+
+    def apart(a, b):
+        return a != b and not any(rows[a][c] is not None and rows[a][c] == rows[b][c] for c in ("scene_id", "physical_scene_id"))
+
+    want = {(a, k, b): s for a in usable if a % 20 == 0 for k, (s, b) in enumerate(sorted((round(score(a, b), 9), b) for b in usable if apart(a, b))[:3], 1)}
+    got = {(r["query_id"], r["rank"], r["other_id"]): r["score"] for r in catalog.queries()["retrieve_full_score"](spark, small).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
 def test_images():
     ramp = np.repeat(np.linspace(0, 1, 32)[None, :, None], 32, axis=0).repeat(3, axis=2)
     dark, fair = images.quality(ramp * 0.1), images.quality(ramp)
