@@ -142,6 +142,16 @@ def weighted_neighbors(queries: DataFrame, memory: DataFrame, key: str, parts: l
     return top_per_key(near, ["query_id"], [F.col("score"), F.col("other_id")], k)
 
 
+def crossfold_neighbors(queries: DataFrame, memory: DataFrame, key: str, parts: list[Component], k: int, fold: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """``weighted_neighbors`` in which a query with a fold meets only rows of other folds.
+
+    A row of the memory without a fold is in no fold's memory, so only queries
+    without one (held out) meet it: those retrieve from the full memory.
+    """
+    folded = weighted_neighbors(queries.where(F.col(fold).isNotNull()), memory.where(F.col(fold).isNotNull()), key, parts, k, (*excludes, fold))
+    return folded.unionByName(weighted_neighbors(queries.where(F.col(fold).isNull()), memory, key, parts, k, excludes))
+
+
 def context(ranked: DataFrame) -> DataFrame:
     """One row per query: its best neighbour and all of them in order, as structs."""
     item = F.struct("rank", "other_id", "score")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import decisions
 from lumaframe.functions import exprs as X
+from lumaframe.functions.labels import SPLIT_SYNONYMS, physical_key, scene_key, split_name
 from lumaframe.operators import evaluate, labels, order, retrieval, search, splits
 from lumaframe.session import materialize, shared_dir
 from lumaframe.sources.jsonl import line_kind
@@ -472,6 +473,31 @@ def retrieve_full_score(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
 
 
+_TRAIN = ", ".join(f"'{w}'" for w in SPLIT_SYNONYMS["train"])
+_NUMBER_OF = lambda text, i: f"nullif(regexp_extract_all({text}, '[0-9]+')[{i}], '')"
+_UNPADDED = lambda text: f"regexp_replace({text}, '^0+([0-9])', '\\1')"
+
+
+@query(f"""WITH {_FULL_ROWS_SQL},
+c AS (SELECT *, coalesce(regexp_replace(lower(dataset_split), '[^a-z]+', '', 'g') IN ({_TRAIN}), false) AS train, {_UNPADDED(_NUMBER_OF("scene_id", 1))} || '_' || {_UNPADDED(_NUMBER_OF("scene_id", 2))} AS scene,
+    {_UNPADDED(f"coalesce({_NUMBER_OF('physical_scene_id', 1)}, {_NUMBER_OF('scene_id', 2)})")} AS grp FROM experiences),
+f AS (SELECT grp, (row_number() OVER (ORDER BY md5('42:' || grp), grp) - 1) % 4 AS fold FROM (SELECT DISTINCT grp FROM c WHERE train AND grp IS NOT NULL)),
+w AS (SELECT n.*, c.train, c.scene, c.grp, CASE WHEN c.train THEN f.fold END AS fold FROM n JOIN c USING (row_id) LEFT JOIN f ON f.grp = c.grp),
+s AS (SELECT q.row_id AS query_id, o.row_id AS other_id, {_FULL_SCORE_SQL} FROM w q, w o
+  WHERE q.row_id % 20 = 0 AND o.train AND o.quality_gain >= 0.02 AND NOT isnan(o.quality_gain) AND q.row_id <> o.row_id AND (q.fold IS NULL OR coalesce(q.fold <> o.fold, false))
+    AND NOT coalesce(q.scene = o.scene, false) AND NOT coalesce(q.grp = o.grp, false) AND NOT coalesce(q.run_id = o.run_id, false)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, other_id) AS rank FROM s)
+SELECT query_id, other_id, rank::INTEGER AS rank, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3""")
+def crossfold_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours among useful training rows: of other folds for training rows, of all for held-out ones."""
+    rows = _full_rows(spark, sf).withColumns({"train": F.coalesce(split_name(F.col("dataset_split")) == "train", F.lit(False)), "scene": scene_key(F.col("scene_id")), "grp": physical_key(F.col("physical_scene_id"), F.col("scene_id"))})
+    folds = splits.cross_folds(rows.where("train"), "grp").withColumn("train", F.lit(True))
+    rows = materialize(rows.join(folds, ["grp", "train"], "left"))
+    memory = rows.where("train and quality_gain >= 0.02 and not isnan(quality_gain)")
+    near = retrieval.crossfold_neighbors(rows.where("row_id % 20 = 0"), memory, "row_id", _FULL_PARTS, 3, "fold", ("scene", "grp", "run_id"))
+    return near.select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
+
+
 @query("""
 WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, o.vec_id AS other_id, round(1 - list_dot_product(q.v, o.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(o.v, o.v))), 9) AS score FROM n q, n o WHERE q.vec_id % 20 = 0 AND q.vec_id <> o.vec_id AND NOT coalesce(q.label = o.label, false)),

@@ -69,6 +69,14 @@ def test_full_score_has_all_five_components(spark, small):
     assert all(abs(got[x] - want[x]) < 2e-6 for x in want)
 
 
+def test_crossfold_neighbors_keep_folds_apart(spark):
+    rows = [(i, [float(i)], fold) for i, fold in enumerate([0, 0, 1, None, 1, 0, None, 2])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, fold int")
+    got = retrieval.crossfold_neighbors(df, df.where("id <> 6"), "id", [retrieval.Component("v", "euclidean", 1, 1.0)], 2, "fold").collect()
+    near = {i: [r["other_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] for i in range(8)}
+    assert near == {0: [2, 4], 1: [2, 4], 2: [1, 0], 3: [2, 4], 4: [5, 1], 5: [4, 7], 6: [5, 7], 7: [5, 4]}
+
+
 def test_images():
     ramp = np.repeat(np.linspace(0, 1, 32)[None, :, None], 32, axis=0).repeat(3, axis=2)
     dark, fair = images.quality(ramp * 0.1), images.quality(ramp)
