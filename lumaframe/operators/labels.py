@@ -36,13 +36,28 @@ def two_stage_examples(iterations: DataFrame) -> DataFrame:
 def run_reports(runs: DataFrame, iterations: DataFrame) -> DataFrame:
     """(run_key, rounds, report, markdown): each run's rounds in order, as JSON and text.
 
-    A run without rounds has an empty list.  A run's rounds are few by nature, so
-    they are gathered per run.
+    Where ``iterations`` has the column ``details`` of ``flatten_runs``, rounds hold
+    feedback, decisions, search, quality and what was retrieved too.  A run without
+    rounds has an empty list.  A run's rounds are few by nature, so they are gathered
+    per run.
     """
+    detailed = "details" in iterations.columns
     item = F.struct("iteration_no", "iteration_id", "iso_value", "reason_text", F.coalesce("stop_reason", F.lit("")).alias("stop_reason"))
-    rounds = iterations.groupBy("run_key").agg(F.array_sort(F.collect_list(item)).alias("steps"))
+    plain = F.to_json(item)
+    whole = F.col("_plain") if not detailed else F.concat(F.expr("left(_plain, length(_plain) - 1)"), F.lit(","), F.substr("details", F.lit(2)))
+    told = lambda path, none: F.coalesce(F.get_json_object("details", path), F.lit(none))
+    lines = [F.lit("- "), F.col("iteration_no").cast("string"), F.lit(": ISO "), F.col("iso_value").cast("string"), F.lit(", "), F.col("reason_text")]
+    if detailed:
+        lines += [
+            F.lit("\n  - feedback: "), told("$.previous_round_feedback", "none, original input"), F.lit("\n  - first decision: "), told("$.vlm_first_recommendation", "none"),
+            F.lit("\n  - RAG: "), told("$.rag_retrieval.best_experience", "no experience retrieved"), F.lit("\n  - integrated decision: "), told("$.vlm_experience_integrated_recommendation", "none"),
+            F.lit("\n  - final action: "), told("$.final_action", "none"), F.lit("\n  - quality: "), told("$.objective_quality", "none"), F.lit("\n  - gain: "), told("$.quality_gain_from_original", "unknown"),
+        ]
+    rounds = iterations.withColumn("_plain", plain).select("run_key", F.struct("iteration_no", "iteration_id", whole.alias("json"), F.concat(*lines).alias("text")).alias("step"))
+    rounds = rounds.groupBy("run_key").agg(F.array_sort(F.collect_list("step")).alias("steps"))
     joined = runs.select("run_key", "run_id", F.col("stop_reason").alias("stopped")).join(rounds, "run_key", "left")
-    steps = F.coalesce("steps", F.array().cast("array<struct<iteration_no:int,iteration_id:string,iso_value:int,reason_text:string,stop_reason:string>>"))
-    line = lambda s: F.concat(F.lit("- "), s["iteration_no"].cast("string"), F.lit(": ISO "), s["iso_value"].cast("string"), F.lit(", "), s["reason_text"])
-    text = F.concat(F.lit("## "), F.coalesce("run_id", F.lit("")), F.lit("\n"), F.array_join(F.transform(steps, line), "\n"))
-    return joined.select("run_key", F.size(steps).alias("rounds"), F.to_json(F.struct("run_id", "stopped", steps.alias("rounds"))).alias("report"), text.alias("markdown"))
+    steps = F.coalesce("steps", F.array().cast("array<struct<iteration_no:int,iteration_id:string,json:string,text:string>>"))
+    text = F.concat(F.lit("## "), F.coalesce("run_id", F.lit("")), F.lit("\n"), F.array_join(F.transform(steps, lambda s: s["text"]), "\n"))
+    head = F.to_json(F.struct(F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("stopped", F.lit("")).alias("stopped")))
+    report = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"rounds":['), F.array_join(F.transform(steps, lambda s: s["json"]), ","), F.lit("]}"))
+    return joined.select("run_key", F.size(steps).alias("rounds"), report.alias("report"), text.alias("markdown"))

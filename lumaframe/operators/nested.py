@@ -172,14 +172,61 @@ def _entries(node: Node | None, single: str) -> list[tuple[int, Node]]:
     return [(1, node)] if node.state == single else []
 
 
+#: What a round's report keeps beside the flat fields: its name there, and the names it is stored under.
+_REPORTED = {
+    "previous_round_feedback": ("feedback_input",),
+    "vlm_first_recommendation": ("initial_vlm_decision", "vlm_decision"),
+    "vlm_experience_integrated_recommendation": ("integrated_vlm_decision",),
+    "local_search": ("optimizer_trace",),
+    "final_action": ("final_action",),
+    "metadata": ("final_metadata", "updated_metadata"),
+    "objective_quality": ("objective_quality_after", "evaluated_quality"),
+    "quality_gain_from_original": ("quality_gain_from_original",),
+    "satisfactory": ("satisfactory",),
+}
+
+
+def _finite(value):
+    """The value without numbers that JSON can't hold."""
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_finite(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def rag_report(context) -> dict:
+    """What was retrieved; the best experience is the named one, else the first example."""
+    inner = read_json(context) if isinstance(context, str) else context
+    if not isinstance(inner, dict):
+        return {"retrieved": False, "best_experience": None}
+    examples, best = inner.get("examples"), inner.get("best_experience")
+    if best is None and isinstance(examples, list):
+        best = next((e for e in examples if e is not None), None)
+    return {"retrieved": best is not None, "retrieval_type": inner.get("retrieval_type"), "distance_weights": inner.get("distance_weights"), "best_experience": best}
+
+
+def _details(step: Node) -> str:
+    out = {}
+    for name, stored in _REPORTED.items():
+        node = next((n for n in (_child(step, x) for x in stored) if n is not None), None)
+        out[name] = None if node is None else node.value
+    context = _child(step, "memory_context")
+    out["rag_retrieval"] = rag_report(None if context is None else context.value)
+    return clean_text(json.dumps(_finite(out), ensure_ascii=False))
+
+
 FLAT_SCHEMA = (
     "run_key bigint, level string, variant string, iteration_id string, iteration_no int, candidate_no int,"
     " iso_value int, reason_text string, stop_reason string, stage string, overall_quality double, run_id string, iterations int"
 )
 
 
-def flatten_run(run_key: int | None, run_json: str | None) -> list[tuple]:
-    """All flat rows of one document: the run, its iterations, their candidates."""
+def flatten_run(run_key: int | None, run_json: str | None, details: bool = False) -> list[tuple]:
+    """All flat rows of one document: the run, its iterations, their candidates.
+
+    With ``details`` a row has one more field: an iteration's report as JSON.
+    """
     value = read_json(run_json)
     root = AGENT_RUN.classify(value) if value is not NOT_JSON else None
     if root is None or not isinstance(root.children, dict):
@@ -189,6 +236,7 @@ def flatten_run(run_key: int | None, run_json: str | None) -> list[tuple]:
         run = inner
     level = _child(run, "iterations")
     rows: list[tuple] = []
+    more = [None] if details else []
     count = 0
     for place, step in _entries(level, "iteration"):
         if not isinstance(step.children, dict):
@@ -200,13 +248,13 @@ def flatten_run(run_key: int | None, run_json: str | None) -> list[tuple]:
         link = f"{run_key}/{count}"
         decision, trace = _child(step, "vlm_decision"), _child(step, "optimizer_trace")
         shape = f"{level.variant}.{decision.variant if decision is not None else 'none'}"
-        rows.append((run_key, "iteration", shape, link, number, 0, _iso(step), _text(_child(decision, "reason")), _text(_child(step, "stop_reason")), None, None, None, None))
+        rows.append((run_key, "iteration", shape, link, number, 0, _iso(step), _text(_child(decision, "reason")), _text(_child(step, "stop_reason")), None, None, None, None, *([_details(step)] if details else [])))
         for at, entry in _entries(_child(trace, "candidates"), "candidate"):
             quality = _child(entry, "overall_quality")
             score = float(quality.value) if quality is not None and quality.state == "number" else None
-            rows.append((run_key, "candidate", entry.variant, link, number, at, _iso(entry), "", None, _text(_child(entry, "stage")), score, None, None))
+            rows.append((run_key, "candidate", entry.variant, link, number, at, _iso(entry), "", None, _text(_child(entry, "stage")), score, None, None, *more))
     shape = f"{root.variant}.{level.variant if level is not None else 'none'}"
-    rows.append((run_key, "run", shape, None, None, None, None, None, _text(_child(run, "stop_reason")), None, None, _text(_child(run, "run_id")), count))
+    rows.append((run_key, "run", shape, None, None, None, None, None, _text(_child(run, "stop_reason")), None, None, _text(_child(run, "run_id")), count, *more))
     return rows
 
 
@@ -214,7 +262,11 @@ def _make_flatten() -> Callable[..., list[tuple]]:
     return flatten_run
 
 
-def flatten_runs(docs: DataFrame) -> DataFrame:
+def _make_detailed() -> Callable[..., list[tuple]]:
+    return lambda run_key, run_json: flatten_run(run_key, run_json, True)
+
+
+def flatten_runs(docs: DataFrame, details: bool = False) -> DataFrame:
     """One flat row per node of every readable document of ``docs(run_key, run_json)``.
 
     ``level`` is run, iteration or candidate, ``variant`` the automaton's state of
@@ -222,7 +274,10 @@ def flatten_runs(docs: DataFrame) -> DataFrame:
     (unique per document and place), ``run_key`` the link to the run.  Null,
     unreadable and non-object documents give nothing; documents delivered twice
     count under each key; null keys stay null.  Columns beside the two are ignored.
+    ``details`` adds a column of that name: what an iteration's report holds, as JSON.
     """
+    if details:
+        return flat_map_rows(docs, ["run_key", "run_json"], _make_detailed, FLAT_SCHEMA + ", details string")
     return flat_map_rows(docs, ["run_key", "run_json"], _make_flatten, FLAT_SCHEMA)
 
 
@@ -230,8 +285,8 @@ def runs_table(flat: DataFrame) -> DataFrame:
     return flat.where("level = 'run'").select("run_key", "run_id", "variant", "stop_reason", "iterations")
 
 
-def iterations_table(flat: DataFrame) -> DataFrame:
-    return flat.where("level = 'iteration'").select("run_key", "iteration_id", "variant", "iteration_no", "iso_value", "reason_text", "stop_reason")
+def iterations_table(flat: DataFrame, *more: str) -> DataFrame:
+    return flat.where("level = 'iteration'").select("run_key", "iteration_id", "variant", "iteration_no", "iso_value", "reason_text", "stop_reason", *more)
 
 
 def candidates_table(flat: DataFrame) -> DataFrame:

@@ -56,8 +56,8 @@ def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = materialize(_flat(spark, sf_dir))
-    return labels.run_reports(nested.runs_table(flat), nested.iterations_table(flat))
+    flat = materialize(nested.flatten_runs(table(spark, sf_dir, "agent_runs_self_evolving"), details=True))
+    return labels.run_reports(nested.runs_table(flat), nested.iterations_table(flat, "details"))
 
 
 def two_stage_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

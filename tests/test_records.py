@@ -2,7 +2,7 @@
 
 import json
 
-from lumaframe.operators import drift, nested
+from lumaframe.operators import drift, labels, nested
 
 
 def runs(spark, *docs):
@@ -43,6 +43,27 @@ def test_candidates_and_fields(spark):
     assert nested.subtype_table(nested.iterations_table(flat), "listed_iterations.none").count() == 1
 
 
+def test_reports_hold_feedback_decisions_quality_and_retrieval(spark):
+    action, best = {"iso_delta": 200}, {"run_id": "m-1", "gain": float("nan")}
+    steps = [
+        {"index": 1, "vlm_decision": {"action": action, "reason": "r"}, "evaluated_quality": {"noise": 0.5}, "memory_context": {"best_experience": best, "retrieval_type": "t", "distance_weights": {"visual": 0.35}}},
+        {"index": 2, "vlm_decision": json.dumps({"action": action, "reason": "über"}), "feedback_input": {"round_index": 1}, "memory_context": {"examples": [{"run_id": "m-2"}]}, "quality_gain_from_original": 0.25},
+        {"index": 3, "memory_context": None},
+    ]
+    docs = [(1, json.dumps({"run_id": "a", "stop_reason": "s", "iterations": steps})), (2, json.dumps({"run_id": "b", "iterations": []}))]
+    flat = nested.flatten_runs(spark.createDataFrame(docs, "run_key bigint, run_json string"), details=True)
+    got = {r["run_key"]: r for r in labels.run_reports(nested.runs_table(flat), nested.iterations_table(flat, "details")).collect()}
+    one, two, three = json.loads(got[1]["report"])["rounds"]
+    assert one["rag_retrieval"] == {"retrieved": True, "retrieval_type": "t", "distance_weights": {"visual": 0.35}, "best_experience": {"run_id": "m-1", "gain": None}}
+    assert one["vlm_first_recommendation"]["action"] == two["vlm_first_recommendation"]["action"] == action
+    assert one["objective_quality"] == {"noise": 0.5} and one["previous_round_feedback"] is None
+    assert two["previous_round_feedback"] == {"round_index": 1} and two["quality_gain_from_original"] == 0.25
+    assert two["rag_retrieval"]["best_experience"] == {"run_id": "m-2"} and two["reason_text"] == "über"
+    assert three["rag_retrieval"] == {"retrieved": False, "best_experience": None} and three["iteration_no"] == 3
+    assert "RAG: {\"run_id\":\"m-2\"}" in got[1]["markdown"] and got[1]["markdown"].count("no experience retrieved") == 1
+    assert json.loads(got[2]["report"]) == {"run_id": "b", "stopped": "", "rounds": []} and got[2]["rounds"] == 0
+
+
 def test_repeated_runs_count_twice_and_empty_is_empty(spark):
     d = {"iterations": [{"index": 1}]}
     assert runs(spark, d, d).count() == 2
