@@ -48,7 +48,9 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
     ``queries`` None: the index queries itself.  A bucket with n queries is cut into
     ceil(n / block) blocks by a hash of the id; block and bucket name the shuffle
     key, so the blocks of a hot bucket spread over all tasks.  ``kernel()`` makes an
-    object with ``start(ids, vecs)``, ``feed(ids, vecs)`` and ``end() -> columns``.
+    object with ``start(ids, vecs)``, ``feed(ids, vecs)`` and ``end() -> columns``;
+    one whose results are unbounded also has ``drain() -> columns or None``, which is
+    asked after every chunk.
     ``vec`` is a blob made by ``pack_floats``, or by ``pack_fixed`` if ``fixed``.
     """
     asking = index if queries is None else queries
@@ -72,7 +74,13 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
         held: list[tuple[np.ndarray, np.ndarray]] = []
         started = False
 
-        def begin() -> None:
+        def made(cols: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+            if cols is not None and len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        drain = getattr(work, "drain", lambda: None)
+
+        def begin() -> Iterator[pa.RecordBatch]:
             nonlocal started
             ids = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
             vecs = np.concatenate([h[1] for h in held]) if held else np.zeros((0, dim))
@@ -81,16 +89,16 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
             if self_join:
                 for i in range(0, len(ids), CHUNK):
                     work.feed(ids[i : i + CHUNK], vecs[i : i + CHUNK])
+                    yield from made(drain())
             started = True
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal started
             if not started:
-                begin()
+                yield from begin()
             cols = work.end()
             started = False
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            yield from made(cols)
 
         for batch in batches:
             n = batch.num_rows
@@ -111,9 +119,10 @@ def stream_blocks(queries: DataFrame | None, index: DataFrame, kernel: Callable,
                     held.append((ids[a:b], vecs[a:b]))
                 else:
                     if not started:
-                        begin()
+                        yield from begin()
                     for i in range(a, b, CHUNK):
                         work.feed(ids[i : min(b, i + CHUNK)], vecs[i : min(b, i + CHUNK)])
+                        yield from made(drain())
         if at is not None:
             yield from finish()
 

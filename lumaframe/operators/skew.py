@@ -11,7 +11,14 @@ from lumaframe.session import materialize
 HOT_ROWS = 10_000  # a key with fewer rows is never hot
 
 
-def hot_keys(rows: DataFrame, key: str, most: int = 1_000, least_rows: int = HOT_ROWS) -> list:
+def largest_keys(counts: DataFrame, key: str, count: str, most: int = 1_000, least_rows: int | None = None) -> list:
+    """The keys of ``counts(key, count)`` with most rows: at most ``most``, each with at least ``least_rows`` (``HOT_ROWS``)."""
+    least = HOT_ROWS if least_rows is None else least_rows
+    large = counts.where(F.col(key).isNotNull() & (F.col(count) >= least))
+    return [r[0] for r in large.orderBy(F.desc(count)).limit(most).select(key).collect()]
+
+
+def hot_keys(rows: DataFrame, key: str, most: int = 1_000, least_rows: int | None = None) -> list:
     """The keys with most rows: at most ``most``, each with at least ``least_rows``.
 
     ``most`` is the proven bound on what comes to the driver.  A key with more than
@@ -19,21 +26,19 @@ def hot_keys(rows: DataFrame, key: str, most: int = 1_000, least_rows: int = HOT
     map-side and each task sends its ``most`` largest only.  Null keys never join
     and are left out.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least_rows)
-    return [r[0] for r in counts.orderBy(F.desc("count")).limit(most).select(key).collect()]
+    return largest_keys(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), key, "_n", most, least_rows)
 
 
-def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", rows_at_most: int | None = None) -> DataFrame:
+def hot_key_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """``rows JOIN lookup`` on ``key`` where ``lookup`` has one row per key.
 
     Rows of hot keys meet a broadcast of the (at most 1,000) lookup rows of those
     keys and are not shuffled; all other rows take a shuffle join, in which no key
     holds more than a thousandth of the rows.  ``how`` is ``inner`` or ``left``.
-    ``rows_at_most``: the number of rows where it is known; keys need not be counted
-    if it is below ``HOT_ROWS``.  Null keys: dropped by ``inner``, kept with nulls by
-    ``left``.
+    ``hot``: the hot keys where they are known, else they are counted.  Null keys:
+    dropped by ``inner``, kept with nulls by ``left``.
     """
-    hot = hot_keys(rows, key) if rows_at_most is None or rows_at_most >= HOT_ROWS else []
+    hot = hot_keys(rows, key) if hot is None else hot
     if not hot:
         return rows.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
