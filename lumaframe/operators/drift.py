@@ -9,16 +9,18 @@ name similarity; matched pairs are renames, the rest removals and additions.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions.arrow import clean_text, flat_map_rows
-from lumaframe.operators.skew import hot_key_join, top_per_key
-from lumaframe.session import materialize
+from lumaframe.operators.nested import dump_json
+from lumaframe.operators.skew import hot_key_join, product_join, top_per_key
+from lumaframe.session import materialize, release
 
 SEP = "\x1f"  # between the names of a path, as names may hold dots
 SKETCH_SIZE = 64  # smallest value hashes kept per column
@@ -37,19 +39,30 @@ def _read_object(text: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def _nodes(obj: dict, prefix: str = ""):
-    """(path, value) of every field, objects before what is in them."""
-    for name, value in obj.items():
-        path = prefix + clean_text(name)
-        yield path, value
-        if isinstance(value, dict):
-            yield from _nodes(value, path + SEP)
+def _nodes(obj: dict) -> Iterator[tuple[str, object]]:
+    """(path, value) of every field, objects before what is in them, without recursion."""
+    todo = [iter([(clean_text(name), value) for name, value in obj.items()])]
+    while todo:
+        for path, value in todo[-1]:
+            yield path, value
+            if isinstance(value, dict):
+                todo.append(iter([(path + SEP + clean_text(name), v) for name, v in value.items()]))
+                break
+        else:
+            todo.pop()
+
+
+def _sorted_json(value) -> str:
+    try:
+        return json.dumps(value, sort_keys=True)
+    except RecursionError:
+        return dump_json(value)
 
 
 def _canonical(value) -> str:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return repr(float(value)) if abs(value) < 2**53 else repr(value)
-    return json.dumps(value, sort_keys=True)
+    return _sorted_json(value)
 
 
 def _hash(*parts: str) -> int:
@@ -79,6 +92,7 @@ def profile_schemas(lines: DataFrame) -> DataFrame:
     Lines become shapes (their paths and types); only distinct shapes leave a task.
     """
     shapes = flat_map_rows(lines, ["stream_name", "file_name", "file_seq", "line_text"], _make_shapes, "stream_name string, file_name string, file_seq int, shape string").distinct()
+    shapes = materialize(shapes)  # lines are read as JSON once for all three uses below
     fields = shapes.select("file_name", F.explode(F.from_json("shape", "array<array<string>>")).alias("f"))
     schema = fields.groupBy("file_name").agg(F.collect_set("f").alias("fields"))
     order = Window.partitionBy("stream_name").orderBy("file_seq", "file_name")
@@ -137,7 +151,7 @@ def _make_records() -> Callable[..., list[tuple]]:
                 tokens.add(_hash(path, kind, _canonical(value)))
             if path in wanted:
                 seen[path] = _hash(kind, _canonical(value))
-        return [(file, _hash(json.dumps(obj, sort_keys=True)), len(tokens), sorted(tokens), list(seen), list(seen.values()))]
+        return [(file, _hash(_sorted_json(obj)), len(tokens), sorted(tokens), list(seen), list(seen.values()))]
 
     return record
 
@@ -274,39 +288,61 @@ def _changes(lines: DataFrame) -> DataFrame:
     return out
 
 
-def _make_names() -> Callable[..., list[tuple]]:
-    def names(files: list[dict], renames: list[dict]) -> list[tuple]:
-        """Per file, the present path of each field that was renamed up to it."""
-        by_file: dict[str, list[tuple[str, str]]] = {}
-        for r in renames or []:
-            by_file.setdefault(r["file_name"], []).append((r["field_path"], r["new_path"]))
-        first: dict[str, str] = {}  # present path -> the path it had first
-        out = []
-        for f in sorted(files, key=lambda f: (f["file_seq"], f["file_name"])):
-            step = {new: first.get(old, old) for old, new in by_file.get(f["file_name"], [])}
-            for old, _ in by_file.get(f["file_name"], []):
-                first.pop(old, None)
-            first |= step
-            moved = {n: o for n, o in first.items() if n != o}
-            out.append((f["file_name"], list(moved), list(moved.values())))
-        return out
+def _leaf(col: str) -> Column:
+    return F.substring_index(F.col(col), SEP, -1)
+
 
-    return names
+def _origins(renames: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_name, path, leaf): each present path that was renamed up to a file, and the name it had first.
+
+    A rename keeps the parent, so only the last name of a path changes.  Each rename
+    points to the one of the same stream by which its old path had come, if any; the
+    pointers are doubled until all lead to a first name, in as many rounds as the
+    logarithm of the longest chain.  No task holds a stream.
+    """
+    events = renames.join(files, "file_name").select("stream_name", "file_seq", "file_name", F.col("field_path").alias("old"), F.col("new_path").alias("new"))
+    # what happens to a path in order: it comes by a rename (made) or goes by one
+    marks = events.select("stream_name", F.col("new").alias("path"), "file_seq", "file_name", F.lit(1).alias("made")).unionByName(
+        events.select("stream_name", F.col("old").alias("path"), "file_seq", "file_name", F.lit(0).alias("made"))
+    )
+    order = Window.partitionBy("stream_name", "path").orderBy("file_seq", "file_name", "made")
+    spans = marks.withColumns({
+        "until_seq": F.lead("file_seq").over(order), "until_file": F.lead("file_name").over(order),
+        "came": F.last(F.when(F.col("made") == 1, F.struct("file_seq", "file_name")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "last_made": F.lag("made").over(order),
+    })
+    spans = materialize(spans)
+    link = spans.where("made = 0").select("stream_name", F.col("path").alias("old"), "file_name", F.when(F.col("last_made") == 1, F.col("came.file_name")).alias("from_file"))
+    chain = events.join(link, ["stream_name", "old", "file_name"]).select(
+        "stream_name", "file_name", "new", F.col("old").alias("first"), F.col("from_file"), F.when(F.col("from_file").isNotNull(), F.col("old")).alias("from_path")
+    )
+    chain = materialize(chain)
+    while not chain.where("from_file is not null").isEmpty():
+        before = chain.select("stream_name", F.col("file_name").alias("from_file"), F.col("new").alias("from_path"), F.col("first").alias("_first"), F.col("from_file").alias("_file"), F.col("from_path").alias("_path"))
+        now = chain.join(before, ["stream_name", "from_file", "from_path"], "left")
+        now = materialize(now.select("stream_name", "file_name", "new", F.coalesce("_first", "first").alias("first"), F.col("_file").alias("from_file"), F.col("_path").alias("from_path")))
+        release(chain)
+        chain = now
+    active = spans.where("made = 1").select("stream_name", F.col("path").alias("new"), F.col("file_seq").alias("_seq"), "file_name", "until_seq", "until_file")
+    active = active.join(chain.select("stream_name", "file_name", "new", _leaf("first").alias("leaf")), ["stream_name", "file_name", "new"]).withColumnRenamed("file_name", "_file")
+    here = F.struct("file_seq", "file_name")
+    each = product_join(files, active, "stream_name").where((here >= F.struct("_seq", "_file")) & (F.col("until_seq").isNull() | (here < F.struct("until_seq", "until_file"))))
+    out = materialize(each.where(_leaf("new") != F.col("leaf")).select("file_name", F.col("new").alias("path"), "leaf"))
+    release(spans)
+    release(chain)
+    return out
 
 
-def _plain(value):
-    """A value in its simplest form: ``{"value": x}`` and ``[x]`` are x, numerals numbers."""
-    if isinstance(value, dict) and set(value) == {"value"}:
-        return _plain(value["value"])
-    if isinstance(value, list) and len(value) == 1:
-        return _plain(value[0])
+_NUMERAL = re.compile(r"-?(?:0|[1-9]\d{0,14})(?:\.\d{0,14}[1-9])?")
+
+
+def _kind_of(value) -> str:
+    """The kind of a leaf; a text that reads as one number and as nothing else is a numeral."""
     if isinstance(value, str):
-        try:
-            inner = json.loads(value)
-        except ValueError:
-            return value
-        return inner if isinstance(inner, (dict, int, float)) and not isinstance(inner, bool) and not value.startswith("0") else value
-    return value
+        return "numeral" if _NUMERAL.fullmatch(value) and value != "-0" else "string"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return "number" if abs(value) < 2**53 else "string"  # text keeps what a double can't
+    return _TYPES[type(value)]
 
 
 def _make_unify() -> Callable[..., list[tuple]]:
@@ -315,37 +351,80 @@ def _make_unify() -> Callable[..., list[tuple]]:
         if obj is None:
             return []
         moved = dict(zip(present or [], first or [], strict=True))
-        fields: dict[str, str | None] = {}
-
-        def put(value: dict, at: str, to: str) -> None:
+        names, values, kinds = [], [], []
+        todo = [(obj, "", "")]
+        while todo:
+            value, at, to = todo.pop()
             for name, v in value.items():
-                here = at + clean_text(name)
-                there = moved.get(here, to + clean_text(name))
-                v = _plain(v)
-                if isinstance(v, dict):
-                    put(v, here + SEP, there + SEP)
-                else:
-                    text = v if isinstance(v, str) or v is None else json.dumps(v)
-                    fields[there.replace(SEP, ".")] = None if text is None else clean_text(text)
-
-        put(obj, "", "")
-        return [(stream, file, line_no, list(fields), list(fields.values()))]
+                name = clean_text(name)
+                here = at + name
+                there = to + moved.get(here, name)
+                while isinstance(v, dict) and len(v) == 1 and "value" in v:  # a wrapper adds nothing
+                    v = v["value"]
+                if isinstance(v, dict) and v:
+                    todo.append((v, here + SEP, there + "."))
+                    continue
+                names.append(there)
+                kinds.append(_kind_of(v))
+                values.append(None if v is None else clean_text(v) if isinstance(v, str) else dump_json(v))
+        if len(set(names)) < len(names):  # a dot in a name can make two paths look alike: the later one counts
+            at = {n: i for i, n in enumerate(names)}
+            names, values, kinds = list(at), [values[i] for i in at.values()], [kinds[i] for i in at.values()]
+        return [(stream, file, line_no, names, values, kinds)]
 
     return unify
 
 
 def unified_records(lines: DataFrame) -> DataFrame:
-    """Every object line as one row: ``stream_name, file_name, line_no, fields``.
+    """Every object line as one row: ``stream_name, file_name, line_no, fields, kinds``.
 
     ``fields`` maps each dotted path, under the name the field had first in its
-    stream, to its value as text in one plain form, whatever name and type the file
-    used.  Lines that are no objects are passed over; repeated lines stay.
+    stream, to its value: texts and numbers as they stand, arrays and empty objects as
+    JSON.  A wrapper ``{"value": x}`` is passed over.  ``kinds`` maps the same paths to
+    the kind of the value.  Lines that are no objects are passed over; repeated lines
+    stay; of paths that look alike in dots the later one counts.
     """
-    changes = _changes(lines).where("change_kind = 'renamed'")
-    files = lines.select("stream_name", "file_name", "file_seq").distinct()
-    per_stream = files.groupBy("stream_name").agg(F.collect_list(F.struct("file_name", "file_seq")).alias("files"))
-    renamed = changes.join(files.select("file_name", "stream_name"), "file_name").groupBy("stream_name").agg(F.collect_list(F.struct("file_name", "field_path", "new_path")).alias("renames"))
-    names = flat_map_rows(per_stream.join(renamed, "stream_name"), ["files", "renames"], _make_names, "file_name string, present array<string>, first array<string>")
+    files = materialize(lines.select("stream_name", "file_name", "file_seq").distinct().where("stream_name is not null and file_name is not null and file_seq is not null"))
+    renames = _changes(lines).where("change_kind = 'renamed'").select("file_name", "field_path", "new_path")
+    origins = _origins(materialize(renames), files)
+    names = origins.groupBy("file_name").agg(F.collect_list("path").alias("present"), F.collect_list("leaf").alias("first"))  # the fields of one file
     rows = hot_key_join(lines.select("stream_name", "file_name", "line_no", "line_text"), materialize(names), "file_name", how="left")
-    flat = flat_map_rows(rows, ["stream_name", "file_name", "line_no", "line_text", "present", "first"], _make_unify, "stream_name string, file_name string, line_no int, k array<string>, v array<string>")
-    return flat.select("stream_name", "file_name", "line_no", F.map_from_arrays("k", "v").alias("fields"))
+    flat = flat_map_rows(rows, ["stream_name", "file_name", "line_no", "line_text", "present", "first"], _make_unify, "stream_name string, file_name string, line_no int, k array<string>, v array<string>, t array<string>")
+    return flat.select("stream_name", "file_name", "line_no", F.map_from_arrays("k", "v").alias("fields"), F.map_from_arrays("k", "t").alias("kinds"))
+
+
+def resolved_types(records: DataFrame, most: int = 1_000) -> list[tuple[str, str]]:
+    """(path, type) of the ``most`` paths that most lines have: what holds every value unaltered.
+
+    Numbers, and texts that are numerals throughout beside them, give double; booleans
+    boolean; all else, and every mixture, string.
+    """
+    seen = records.select(F.explode("kinds").alias("path", "kind")).groupBy("path", "kind").count()
+    per_path = seen.groupBy("path").agg(F.collect_set(F.when(F.col("kind") != "null", F.col("kind"))).alias("kinds"), F.sum("count").alias("n"))
+    out = []
+    for r in per_path.orderBy(F.desc("n"), "path").limit(most).collect():
+        kinds = set(r["kinds"])
+        out.append((r["path"], "double" if "number" in kinds and kinds <= {"number", "numeral"} else "boolean" if kinds == {"boolean"} else "string"))
+    return out
+
+
+def unified_table(lines: DataFrame, most: int = 1_000) -> DataFrame:
+    """One table of all object lines: a typed column for each field, under the name it had first.
+
+    Columns are the ``most`` paths that most lines have, with the types of
+    :func:`resolved_types`, in the order of their names after ``stream_name, file_name,
+    line_no``; dots in a path become ``__`` and a name that is taken gets ``_`` behind.
+    Whatever has no column is in the map ``rest``.  A field that a line lacks, or that is
+    null there, is null.
+    """
+    records = materialize(unified_records(lines))
+    types = sorted(resolved_types(records, most))
+    taken, columns = {"stream_name", "file_name", "line_no", "rest"}, []
+    for path, kind in types:
+        name = path.replace(".", "__")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append(F.try_element_at("fields", F.lit(path)).cast(kind).alias(name))
+    held = F.array(*[F.lit(p) for p, _ in types]) if types else F.array().cast("array<string>")
+    return records.select("stream_name", "file_name", "line_no", *columns, F.map_filter("fields", lambda k, v: ~F.array_contains(held, k)).alias("rest"))

@@ -3,9 +3,11 @@
 The same level of a record can be stored in different shapes: a list, an object
 keyed by number, a single object, or any of these as JSON text.  A bottom-up tree
 automaton gives every node of the document a state from its kind, its keys and the
-states of its children; the state names the structural variant.  Each variant goes
-to its typed table, which keeps the keys all variants share and the link to the
-parent.
+states of its children; the state names the structural variant.  Each node goes to
+the typed table of its level, each variant to its subtype of that table; all keep the
+keys they share and the link to their parent.  Members without a typed column, and
+values whose own type is another, stay as JSON in ``more``, so nothing is lost.
+Documents of any depth are read without recursion.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +57,7 @@ class Rule:
     has: dict[str, frozenset[str]] = field(default_factory=dict)
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     """A classified node: its state, its value, and its children by key or place."""
 
     state: str
@@ -68,6 +70,9 @@ class Node:
         return self.state + ("_text" if self.text else "")
 
 
+_SCALARS = {type(None): "null", bool: "boolean", int: "number", float: "number"}
+
+
 class TreeAutomaton:
     """Deterministic bottom-up automaton: the first rule that fits decides."""
 
@@ -75,23 +80,39 @@ class TreeAutomaton:
         self.rules, self.opaque = rules, opaque
 
     def classify(self, value) -> Node:
-        if value is None:
-            return Node("null", None)
-        if isinstance(value, bool):
-            return Node("boolean", value)
-        if isinstance(value, (int, float)):
-            return Node("number", value)
-        if isinstance(value, str):
-            inner = read_json(value) if value.lstrip()[:1] in ("{", "[", "`") else NOT_JSON
-            if isinstance(inner, (dict, list)):
-                node = self.classify(inner)
-                return Node(node.state, node.value, node.children, True)
-            return Node("string", value)
-        if isinstance(value, list):
-            nodes = [self.classify(v) for v in value]
-            return Node(self._state("array", None, [n.state for n in nodes]), value, nodes)
-        nodes = {k: Node("opaque", v) if k in self.opaque else self.classify(v) for k, v in value.items()}
-        return Node(self._state("object", nodes, [n.state for n in nodes.values()]), value, nodes)
+        """The node of a value, children first, with a stack of its own instead of recursion."""
+        out: list[Node | None] = [None]
+        todo: list[tuple] = [(value, None, None, out, 0, False)]  # (value, keys, child nodes, list and place it goes to, stored as text)
+        while todo:
+            value, keys, nodes, target, at, text = todo.pop()
+            if nodes is not None:  # all children are there
+                states = [n.state for n in nodes]
+                if keys is None:
+                    target[at] = Node(self._state("array", None, states), value, nodes, text)
+                else:
+                    keyed = dict(zip(keys, nodes))
+                    target[at] = Node(self._state("object", keyed, states), value, keyed, text)
+                continue
+            if isinstance(value, str):
+                inner = read_json(value) if value.lstrip()[:1] in ("{", "[", "`") else NOT_JSON
+                if not isinstance(inner, (dict, list)):
+                    target[at] = Node("string", value)
+                    continue
+                value, text = inner, True
+            elif (plain := _SCALARS.get(type(value))) is not None:
+                target[at] = Node(plain, value)
+                continue
+            keys = list(value) if isinstance(value, dict) else None
+            nodes = [None] * len(value)
+            todo.append((value, keys, nodes, target, at, text))
+            for i, v in enumerate(value.values() if keys is not None else value):
+                if keys is not None and keys[i] in self.opaque:
+                    nodes[i] = Node("opaque", v)
+                elif (plain := _SCALARS.get(type(v))) is not None:
+                    nodes[i] = Node(plain, v)
+                else:
+                    todo.append((v, None, None, nodes, i, False))
+        return out[0]
 
     def _state(self, kind: str, keyed: dict | None, states: list[str]) -> str:
         for rule in self.rules:
@@ -186,13 +207,28 @@ _REPORTED = {
 }
 
 
-def _finite(value):
-    """The value without numbers that JSON can't hold."""
-    if isinstance(value, dict):
-        return {k: _finite(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_finite(v) for v in value]
-    return None if isinstance(value, float) and not math.isfinite(value) else value
+def dump_json(value) -> str:
+    """``value`` as JSON text, however deep; numbers that JSON can't hold become null."""
+    try:
+        return json.dumps(value, ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):
+        pass
+    out, todo = [], [(value, "")]
+    while todo:  # texts to be written, and values behind their prefix
+        value, prefix = todo.pop()
+        out.append(prefix)
+        if isinstance(value, dict) and value:
+            todo.append((_END, "}"))
+            todo.extend((v, ("," if i else "{") + json.dumps(k, ensure_ascii=False) + ":") for i, (k, v) in reversed(list(enumerate(value.items()))))
+        elif isinstance(value, list) and value:
+            todo.append((_END, "]"))
+            todo.extend((v, "," if i else "[") for i, v in reversed(list(enumerate(value))))
+        elif value is not _END:
+            out.append("null" if isinstance(value, float) and not math.isfinite(value) else json.dumps(value, ensure_ascii=False))
+    return "".join(out)
+
+
+_END = object()
 
 
 def rag_report(context) -> dict:
@@ -213,13 +249,127 @@ def _details(step: Node) -> str:
         out[name] = None if node is None else node.value
     context = _child(step, "memory_context")
     out["rag_retrieval"] = rag_report(None if context is None else context.value)
-    return clean_text(json.dumps(_finite(out), ensure_ascii=False))
+    return clean_text(dump_json(out))
 
 
 FLAT_SCHEMA = (
     "run_key bigint, level string, variant string, iteration_id string, iteration_no int, candidate_no int,"
     " iso_value int, reason_text string, stop_reason string, stage string, overall_quality double, run_id string, iterations int"
 )
+#: Typed columns of the node table: name, kind, and the members that fill it, by level.
+_TYPED = {
+    "run": {"run_id": "text", "scene_id": "text", "physical_scene_id": "text", "dataset_split": "text", "stop_reason": "text", "original_image_path": "text", "final_image_path": "text"},
+    "iteration": {"index": "real", "image_path": "text", "stop_reason": "text", "quality_gain_from_original": "real", "satisfactory": "flag"},
+    "candidate": {"stage": "text", "overall_quality": "real", "distance_from_semi_final": "real", "output_image_path": "text"},
+    "decision": {"reason": "text", "continue": "flag", "continue_adjustment": "flag"},
+    "action": {"iso": "real", "shutter": "real", "iso_delta": "real", "shutter_multiplier": "real"},
+    "metadata": {"image_id": "text", "iso": "real", "shutter_speed_s": "real", "ev": "real", "aperture": "real"},
+    "quality": {"brightness": "real", "noise": "real", "motion_blur": "real", "highlight": "real", "shadow": "real", "overall_quality": "real"},
+    "trace": {"enabled": "flag", "reason": "text"},
+    "context": {"enabled": "flag", "retrieval_type": "text"},
+}
+#: Level of the members that are nodes of their own.
+_LEVELS = {
+    "vlm_decision": "decision", "initial_vlm_decision": "decision", "integrated_vlm_decision": "decision", "action": "action", "final_action": "action", "semi_final_action": "action",
+    "metadata": "metadata", "updated_metadata": "metadata", "initial_metadata": "metadata", "final_metadata": "metadata", "quality": "quality", "evaluated_quality": "quality", "final_quality": "quality",
+    "optimizer_trace": "trace", "memory_context": "context",
+}
+#: Levels a level can hold beside iterations and candidates; anything else nested stays in ``more``.
+_BELOW = {"run": {"metadata", "quality"}, "iteration": {"decision", "action", "metadata", "quality", "trace", "context"}, "candidate": {"action", "metadata", "quality"}, "decision": {"action", "quality"}}
+_COLUMNS = {name: kind for columns in _TYPED.values() for name, kind in columns.items()}
+_SQL = {"text": "string", "real": "double", "flag": "boolean"}
+NODE_SCHEMA = "run_key bigint, level string, variant string, role string, node_id string, parent_id string, place int, " + ", ".join(f"`{n}` {_SQL[k]}" for n, k in _COLUMNS.items()) + ", more string"
+
+
+def _reads_as(value, kind: str) -> bool:
+    if kind == "text":
+        return isinstance(value, str)
+    if kind == "flag":
+        return isinstance(value, bool)
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and abs(value) < 2**53
+
+
+def _run_of(root: Node) -> tuple[Node, list[Node]]:
+    """The run's own node, and the wrappers around it."""
+    run, around = root, []
+    while (inner := _child(run, "result")) is not None and "iterations" not in run.children and isinstance(inner.children, dict):
+        around.append(run)
+        run = inner
+    return run, around
+
+
+def node_rows(run_key: int | None, run_json: str | None) -> list[tuple]:
+    """Every level of one document as typed rows; see :func:`run_nodes`."""
+    value = read_json(run_json)
+    root = AGENT_RUN.classify(value) if value is not NOT_JSON else None
+    if root is None or not isinstance(root.children, dict):
+        return []
+    run, around = _run_of(root)
+    rows: list[tuple] = []
+
+    def put(node: Node, level: str, role: str, parent: str | None, place: int) -> None:
+        own = f"{run_key}/{len(rows)}"
+        typed = dict.fromkeys(_COLUMNS)
+        at = len(rows)
+        rows.append(())
+        more, below = {}, []
+        value, members = node.value, node.children
+        if node.state == "opaque":
+            inner = read_json(value) if isinstance(value, str) else value
+            members = {k: Node("opaque", v) for k, v in inner.items()} if isinstance(inner, dict) else None
+        if not isinstance(members, dict):
+            more = {"": value}
+            members = {}
+        for name, child in members.items():
+            kind = _TYPED[level].get(name)
+            to = _LEVELS.get(name)
+            if kind is not None and _reads_as(child.value, kind):
+                typed[name] = clean_text(child.value) if kind == "text" else float(child.value) if kind == "real" else child.value
+            elif to in _BELOW.get(level, ()) and (isinstance(child.children, dict) or (child.state == "opaque" and child.value is not None)):
+                below.append((child, to, name, 1))
+            elif name == "iterations" and level == "run":
+                steps = _entries(child, "iteration")
+                if not steps and child.state not in ("listed_iterations", "keyed_iterations", "empty"):
+                    more[name] = child.value
+                below += [(n, "iteration", name, k) for k, n in steps]
+            elif name == "candidates" and level == "trace":
+                entries = _entries(child, "candidate")
+                if not entries and child.state not in ("candidates", "empty"):
+                    more[name] = child.value
+                below += [(n, "candidate", name, k) for k, n in entries]
+            elif not (name == "result" and child is run):
+                more[name] = child.value
+        if level == "run" and around:
+            more[".."] = [{k: v for k, v in w.value.items() if k.lower() != "result"} for w in around]
+        rows[at] = (run_key, level, node.variant, role, own, parent, place, *typed.values(), clean_text(dump_json(more)) if more else None)
+        for child, to, name, k in below:
+            put(child, to, name, own, k)
+
+    put(run, "run", "run", None, 1)
+    return rows
+
+
+def run_nodes(docs: DataFrame) -> DataFrame:
+    """Every level of every readable document of ``docs(run_key, run_json)`` as one typed row.
+
+    ``level`` is run, iteration, candidate, decision, action, metadata, quality, trace or
+    context and names the typed table, ``variant`` its subtype (the automaton's state of
+    the stored shape), ``role`` the member it is stored under, ``node_id`` and
+    ``parent_id`` the link to the parent, ``place`` the key or place in a list.  Typed
+    columns hold the members of that type; all other members, and a null entry of a
+    list, are in ``more`` as JSON, so that a document can be put together again.  Null,
+    unreadable and non-object documents give nothing; documents delivered twice count
+    under each key.  Columns beside the two are ignored.
+    """
+    return flat_map_rows(docs, ["run_key", "run_json"], lambda: node_rows, NODE_SCHEMA)
+
+
+def level_table(nodes: DataFrame, level: str, variant: str | None = None) -> DataFrame:
+    """The typed table of one level, or one variant's subtype of it, with keys and links."""
+    rows = nodes.where(F.col("level") == level)
+    if variant is not None:
+        rows = subtype_table(rows, variant)
+    return rows.select("run_key", "variant", "role", "node_id", "parent_id", "place", *_TYPED[level], "more")
 
 
 def flatten_run(run_key: int | None, run_json: str | None, details: bool = False) -> list[tuple]:
@@ -231,9 +381,7 @@ def flatten_run(run_key: int | None, run_json: str | None, details: bool = False
     root = AGENT_RUN.classify(value) if value is not NOT_JSON else None
     if root is None or not isinstance(root.children, dict):
         return []
-    run = root
-    while (inner := _child(run, "result")) is not None and "iterations" not in run.children and isinstance(inner.children, dict):
-        run = inner
+    run, _ = _run_of(root)
     level = _child(run, "iterations")
     rows: list[tuple] = []
     more = [None] if details else []
@@ -274,6 +422,7 @@ def flatten_runs(docs: DataFrame, details: bool = False) -> DataFrame:
     (unique per document and place), ``run_key`` the link to the run.  Null,
     unreadable and non-object documents give nothing; documents delivered twice
     count under each key; null keys stay null.  Columns beside the two are ignored.
+    :func:`run_nodes` has every level and member; this is the view by place.
     ``details`` adds a column of that name: what an iteration's report holds, as JSON.
     """
     if details:

@@ -15,16 +15,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records under one set of names and types: the shared fields as columns."""
-    records = drift.unified_records(table(spark, sf_dir, "memory_lines"))
-    f = lambda name: F.try_element_at("fields", F.lit(name))
-    return records.select(
-        "stream_name", "file_name", "line_no",
-        f("experience_id").alias("experience_id"), f("run_id").alias("run_id"), f("scene_id").alias("scene_id"),
-        f("quality_gain").try_cast("double").alias("quality_gain"),
-        f("fixed_features.histogram_bins").try_cast("double").try_cast("int").alias("histogram_bins"),
-        F.to_json("fields").alias("fields"),
-    )
+    """All records under one set of names and types, a column for each field; what has none as JSON."""
+    unified = drift.unified_table(table(spark, sf_dir, "memory_lines"))
+    return unified.withColumn("rest", F.to_json("rest"))
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +48,19 @@ def p5_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).groupBy("level", "variant").agg(F.count("*").alias("nodes"))
 
 
+def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every level of every run, each row with its typed members and the rest as JSON."""
+    return nested.run_nodes(table(spark, sf_dir, "agent_runs_self_evolving"))
+
+
+def p5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.level_table(p5_nodes(spark, sf_dir), "decision")
+
+
+def p5_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.level_table(p5_nodes(spark, sf_dir), "metadata")
+
+
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = materialize(nested.flatten_runs(table(spark, sf_dir, "agent_runs_self_evolving"), details=True))
     return labels.run_reports(nested.runs_table(flat), nested.iterations_table(flat, "details"))
@@ -64,5 +70,5 @@ def two_stage_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.two_stage_examples(nested.iterations_table(_flat(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_counts, p5_found, p5_runs, p5_iterations, p5_candidates, p5_variants, run_reports, two_stage_examples)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_counts, p5_found, p5_runs, p5_iterations, p5_candidates, p5_variants, p5_nodes, p5_decisions, p5_metadata, run_reports, two_stage_examples)}
 ORACLES: dict[str, str] = {}
