@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.operators.skew import hot_key_join
+from lumaframe.operators.skew import hot_key_join, largest_keys
 from lumaframe.session import materialize, release
 
 
-def _star(edges: DataFrame, large: bool, count: int) -> DataFrame:
-    """One star step on at most ``count`` directed pairs ``(u, v)``.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step on directed pairs ``(u, v)``.
 
     The minimum of each neighbourhood is pre-aggregated map-side; it goes back to
     the pairs through a join whose hot centres are broadcast, so that a node that
-    owns a third of all links is spread over all tasks.
+    owns a third of all links is spread over all tasks.  Counting for the hot centres
+    is part of the same aggregate.
     """
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lows = around.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("low", "u"))
-    joined = hot_key_join(around, lows, "u", rows_at_most=2 * count)
+    counted = materialize(around.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "u")))
+    lows = counted.select("u", "low")
+    joined = hot_key_join(around, lows, "u", hot=largest_keys(counted, "u", "n"))
     if large:
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         near = joined.select(F.col("v").alias("u"), F.col("low").alias("v"))
         own = lows.select("u", F.col("low").alias("v"))
         linked = near.unionByName(own)
-    return linked.where(F.col("u") != F.col("v")).distinct()
+    out = materialize(linked.where(F.col("u") != F.col("v")).distinct())
+    release(counted)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -43,19 +47,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
     edges = materialize(edges.distinct())
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = materialize(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     stars = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    release(edges)
     last = mark(stars)
     for _ in range(max_rounds):
         if not last[0]:
             break
-        after = materialize(_star(stars, True, last[0]))
+        after = _star(stars, True)
         release(stars)
-        stars = materialize(_star(after, False, last[0]))
+        stars = _star(after, False)
         release(after)
         now = mark(stars)
         if now == last:
@@ -63,4 +68,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    # every node is on one row of either side, so no key is hot here
     return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -49,7 +49,7 @@ def related_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         (sum(F.coalesce(F.max(f"_{s}"), F.lit(0)) for s in ("train", "validation", "test"))).alias("splits"),
         F.coalesce(F.min("_low") != F.max("_high"), F.lit(False)).alias("fold_torn"),
     )
-    return keyed, by_key.select("_key", "root").join(units, "root")
+    return keyed, hot_key_join(by_key.select("_key", "root"), materialize(units), "root")
 
 
 def torn_rows(rows: DataFrame) -> DataFrame:
@@ -78,44 +78,60 @@ def _ranges(unit_id: Column, salt: Column, shares: list[tuple[str, float]]) -> C
     return name
 
 
-def assign_splits(rows: DataFrame, targets: DataFrame, salts: int = 64) -> DataFrame:
+SPLITS = 100  # splits with a target; their number is checked
+
+
+def assign_splits(rows: DataFrame, targets: DataFrame, salts: int = 64, salt: int | None = None) -> DataFrame:
     """(row_id, unit_id, split_name): all rows of a unit share one split.
 
     The unit's identifier is hashed to a number in [0, 1) which falls into one of
     the consecutive ranges that the shares of ``targets`` (normalized to sum 1, in
     the order of their names) cut.  As a few units may hold much of the rows, the
     hash takes that of ``salts`` salts under which the largest difference between
-    target and actual share of rows is least; only one sum per salt and split comes
-    to the driver.  Targets with a null or non-positive share get nothing.
-    ``targets`` is a handful of rows and is read on the driver.
+    target and actual share of rows is least (``best_salt``); only one row of sums comes
+    to the driver.  That choice depends on the data: a table that grows may get another
+    salt, which deals all units anew.  To keep rows where they were, store the salt of
+    the first build and give it as ``salt``; a unit then moves only if its least row_id
+    changes or it merges with another.  Targets with a null or non-positive share get
+    nothing.
     """
-    shares = [(r[0], float(r[1])) for r in targets.where("target_share > 0").select("split_name", "target_share").orderBy("split_name").collect()]
-    if not shares:
-        raise ValueError("no split has a positive share")
+    shares = _shares(targets)
     keyed, units = related_units(rows)
     units = materialize(units.select("_key", "root", "unit_id", "unit_rows"))
-    tried = units.select("root", "unit_id", "unit_rows").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    sums = tried.groupBy("salt", _ranges(F.col("unit_id"), F.col("salt"), shares).alias("split")).agg(F.sum("unit_rows").alias("n")).collect()
-    held: dict[int, dict[str, int]] = {}
-    for r in sums:
-        held.setdefault(r["salt"], {})[r["split"]] = r["n"]
-    total = sum(s for _, s in shares)
-
-    def worst(salt: int) -> float:
-        n = sum(held[salt].values())
-        return max(abs(held[salt].get(name, 0) / n - share / total) for name, share in shares)
-
-    salt = min(held, key=lambda s: (worst(s), s), default=0)
+    chosen = _best_salt(units, shares, salts) if salt is None else salt
     placed = hot_key_join(keyed.select("_key", "row_id"), units.select("_key", "unit_id"), "_key", how="left")
     placed = placed.withColumn("unit_id", F.coalesce("unit_id", "row_id").cast("bigint"))
-    return placed.select(F.col("row_id").cast("bigint"), "unit_id", _ranges(F.col("unit_id"), F.lit(salt), shares).alias("split_name"))
+    return placed.select(F.col("row_id").cast("bigint"), "unit_id", _ranges(F.col("unit_id"), F.lit(chosen), shares).alias("split_name"))
+
+
+def best_salt(rows: DataFrame, targets: DataFrame, salts: int = 64) -> int:
+    """The salt ``assign_splits`` takes for these rows, to be stored for later builds."""
+    return _best_salt(related_units(rows)[1], _shares(targets), salts)
+
+
+def _shares(targets: DataFrame) -> list[tuple[str, float]]:
+    given = targets.where("split_name is not null and target_share > 0").select("split_name", "target_share").orderBy("split_name").limit(SPLITS + 1).collect()
+    if not given or len(given) > SPLITS:
+        raise ValueError(f"between 1 and {SPLITS} splits must have a positive share")
+    return [(r[0], float(r[1])) for r in given]
+
+
+def _best_salt(units: DataFrame, shares: list[tuple[str, float]], salts: int) -> int:
+    each = units.select("root", "unit_id", "unit_rows").distinct()
+    names = [n for n, _ in shares]
+    held = [F.sum(F.when(_ranges(F.col("unit_id"), F.lit(s), shares) == n, F.col("unit_rows")).otherwise(0)).alias(f"s{s}_{i}") for s in range(salts) for i, n in enumerate(names)]
+    sums = each.agg(F.sum("unit_rows").alias("all"), *held).first()
+    total = sum(x for _, x in shares)
+    if not sums["all"]:
+        return 0
+    return min(range(salts), key=lambda s: (max(abs(sums[f"s{s}_{i}"] / sums["all"] - x / total) for i, (_, x) in enumerate(shares)), s))
 
 
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual share of every split, zero rows included."""
     counts = assigned.groupBy("split_name").agg(F.count("*").alias("rows"), F.count_distinct("unit_id").alias("units"))
     total = assigned.agg(F.count("*").alias("_all"))
-    out = targets.select("split_name", "target_share").join(F.broadcast(counts), "split_name", "left").crossJoin(F.broadcast(total))
+    out = targets.select("split_name", "target_share").join(counts, "split_name", "left").crossJoin(total)  # one row
     return out.select(
         "split_name", "target_share", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("units", F.lit(0)).alias("units"),
         F.coalesce(F.try_divide(F.col("rows"), F.col("_all")), F.lit(0.0)).alias("actual_share"),
