@@ -31,6 +31,11 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.overlap_counts(table(spark, sf_dir, "experiences"))
 
 
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against brute force, for every evaluation row whose id is divisible by 20."""
+    return overlaps.overlap_recall(table(spark, sf_dir, "experiences"), F.col("row_id") % 20 == 0)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "experiences")
     found = [neighbors.neighbor_pairs(rows, F.col(f"fixed_features.{name}"), dim, name) for name, dim in (("visual_embedding", 192), ("luminance_histogram", 32))]
@@ -77,7 +82,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_splits, p1_shares, p2_found, p2_counts, p3_found, p3_recall, p6_packing, p6_summary, p7_mix, p7_schedule, p7_shares, p8_found, p8_sentences)
+_ALL = (p1_found, p1_splits, p1_shares, p2_found, p2_counts, p2_recall, p3_found, p3_recall, p6_packing, p6_summary, p7_mix, p7_schedule, p7_shares, p8_found, p8_sentences)
 
 
 def queries() -> dict:
