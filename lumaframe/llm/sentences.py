@@ -1,13 +1,16 @@
 """Sentence boundaries across languages and scripts by a linear-chain model.
 
 Every character of a text is tagged as the last one of a sentence or not.  Only
-characters that close a mark, and white space between letters of a script that is
-written without marks, can be last ones; all others are inside with certainty, so
-the chain runs over the candidates.  Blank lines, list items and the end of the
-text are boundaries with certainty.  The weights are those of an averaged structured
-perceptron over boundary features and the transition between neighbouring tags;
-decoding is Viterbi's.  The model is trained here, from the marked passages of
-``sentence_lessons``, in part with their punctuation stripped.
+characters that close a mark, characters before white space in a script that is written
+without marks, and any Chinese or Japanese character of a long stretch that has no mark
+at all can be last ones; all others are inside with certainty, so the chain runs over
+the candidates.  Blank lines, list items and the end of the text are boundaries with
+certainty: they end sentences whatever is around them, so nothing is left to decide.
+The weights are those of an averaged structured perceptron over boundary features and
+the transition between neighbouring tags; decoding is Viterbi's.  The model is trained
+here, from the marked passages of ``sentence_lessons``; those in scripts that do without
+punctuation are learned with their punctuation stripped too.  Time and memory are linear
+in the length of a text.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
@@ -35,6 +39,12 @@ _HEADING = re.compile(r"(?m)^[^\S\n]*#{1,6}[^\S\n]+[^\n]*")
 _MARKER = re.compile(rf"\s*{_ITEM}")
 _CANDIDATE = re.compile(rf"[{re.escape(MARKS)}]+|(?<=[{UNMARKED}])\s+(?=\S)|(?<=\S)\s+(?=[{UNMARKED}])")
 _UNMARKED = re.compile(rf"[{UNMARKED}]")
+_HAN = "\u3041-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff"
+_HAN_PAIR = re.compile(rf"(?<=[{_HAN}])(?=[{_HAN}])")
+_HAN_CHAR = re.compile(rf"[{_HAN}]")
+_OWN_MARK = re.compile(rf"[{re.escape(MARKS.replace('.', ''))}]")
+HAN_STRETCH = 40  # Chinese or Japanese characters without any mark that are no heading or label any more
+_PAIRED = re.compile("[" + re.escape("".join(OPENERS) + "".join(CLOSERS)) + '"]')
 _WORD = re.compile(r"[^\s()\[\]{}（）「」『』“”„«»\"“，、；：,;:！？。!?]+$")
 _NEXT = re.compile(r"[^\W_]+")
 _ALWAYS, _MAY, _LEADS, _MONTHS = set(ALWAYS_ON), set(MAY_END), set(ORDINAL_LEADS), set(MONTHS)
@@ -64,40 +74,34 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(block: str) -> tuple[list[int], dict[int, int]]:
-    """Depth of quotations and brackets at each character, and opener by closer.
+class Spans:
+    """Quotations and brackets of a block: opener by closer, and how deep a character lies.
 
     Only pairs that close within the block count.
     """
-    stack: list[tuple[str, int]] = []  # (awaited closer, place of the opener)
-    awaited: dict[str, int] = defaultdict(int)
-    pairs: dict[int, int] = {}
-
-    def push(closer: str, at: int) -> None:
-        stack.append((closer, at))
-        awaited[closer] += 1
-
-    for i, ch in enumerate(block):
-        if awaited and awaited[ch]:
-            while True:  # what opened later and is still open never closes
-                closer, at = stack.pop()
-                awaited[closer] -= 1
-                if closer == ch:
-                    pairs[i] = at
-                    break
-        elif ch in OPENERS:
-            push(OPENERS[ch], i)
-        elif ch == '"' or ch == "»":
-            push('"' if ch == '"' else "«", i)
-    change = [0] * (len(block) + 1)
-    for c, o in pairs.items():
-        change[o] += 1
-        change[c] -= 1
-    depth, now = [], 0
-    for i in range(len(block)):
-        now += change[i]
-        depth.append(now)
-    return depth, pairs
+
+    def __init__(self, block: str):
+        stack: list[tuple[str, int]] = []  # (awaited closer, place of the opener)
+        awaited: dict[str, int] = defaultdict(int)
+        self.pairs: dict[int, int] = {}
+        for m in _PAIRED.finditer(block):
+            ch, i = m.group(), m.start()
+            if awaited and awaited[ch]:
+                while True:  # what opened later and is still open never closes
+                    closer, at = stack.pop()
+                    awaited[closer] -= 1
+                    if closer == ch:
+                        self.pairs[i] = at
+                        break
+                continue
+            closer = OPENERS.get(ch) or ('"' if ch == '"' else "«" if ch == "»" else None)
+            if closer:
+                stack.append((closer, i))
+                awaited[closer] += 1
+        self.opened, self.closed = sorted(self.pairs.values()), list(self.pairs)
+
+    def depth(self, i: int) -> int:
+        return bisect_right(self.opened, i) - bisect_right(self.closed, i)
 
 
 def candidates(block: str, pairs: dict[int, int]) -> list[tuple[int, int, int, int | None]]:
@@ -116,7 +120,7 @@ def candidates(block: str, pairs: dict[int, int]) -> list[tuple[int, int, int, i
         end, opener = e, None
         while end < len(block):
             at = end
-            if block[at] in "   " and at + 1 < len(block) and block[at + 1] in "»›":
+            if block[at] in "   " and at + 1 < len(block) and block[at + 1] in "»›":
                 at += 1
             if at not in pairs:
                 break
@@ -126,9 +130,13 @@ def candidates(block: str, pairs: dict[int, int]) -> list[tuple[int, int, int, i
         last = end
         if end < len(block):
             out.append((s, e, end, opener))
+    if len(block) > HAN_STRETCH and not _OWN_MARK.search(block) and len(_HAN_CHAR.findall(block)) > HAN_STRETCH:
+        out += [(m.start(), m.start(), m.start(), None) for m in _HAN_PAIR.finditer(block)]
+        out.sort()
     return out
 
 
+@lru_cache(maxsize=20_000)
 def _kind(ch: str) -> str:
     """Coarse class of a character: case, digit or script."""
     if not ch:
@@ -143,7 +151,7 @@ def _kind(ch: str) -> str:
     if 0x0900 <= code < 0x0E00:
         return "indic"
     if _UNMARKED.match(ch):
-        return "unmarked"
+        return "thai" if code < 0x0E80 else "lao" if code < 0x0F00 else "burmese" if code < 0x10A0 else "khmer"
     if 0x2E80 <= code < 0xA000 or 0xF900 <= code < 0xFB00 or 0x20000 <= code < 0x32000:
         return "han" if code >= 0x3400 else "kana" if 0x3040 <= code < 0x3100 else "other"
     if 0xAC00 <= code < 0xD7B0:
@@ -151,105 +159,163 @@ def _kind(ch: str) -> str:
     return "emoji" if unicodedata.category(ch) == "So" else "letter" if ch.isalpha() else "other"
 
 
-def features(block: str, start: int, depth: list[int], cand: tuple[int, int, int, int | None]) -> list[str]:
-    """What the tag of one candidate depends on."""
+_CASED = ("upper", "lower", "digit")
+_VOWEL = re.compile("[aeiouyäöüáéíóúàèùâêîôûαεηιουωάέήίόύώаеёиоуыэюя]")
+
+
+@lru_cache(maxsize=50_000)
+def _abbreviation(token: str) -> tuple[bool, bool]:
+    """(always goes on, may end a sentence) of a token before its dot."""
+    bare = token.rsplit("/", 1)[-1].lstrip("-–—")
+    if bare not in _ALWAYS and bare not in _MAY:
+        bare = bare.rsplit(".", 1)[-1]
+    return bare in _ALWAYS, bare in _MAY
+
+
+def attributes(block: str, start: int, spans: Spans, cand: tuple[int, int, int, int | None], starters: frozenset[str], marked: bool) -> tuple:
+    """What the tag of one candidate depends on, as a tuple of few different values."""
     s, e, end, opener = cand
-    mark = block[s:e]
+    size = len(block)
     after = end
-    while after < len(block) and block[after].isspace():
+    while after < size and block[after].isspace():
         after += 1
     gap = "none" if after == end else "line" if "\n" in block[end:after] else "space"
     lead = after
-    while lead < len(block) and (block[lead] in OPENERS or block[lead] in "\"'¿¡‘" or _kind(block[lead]) == "emoji" or (lead > after and block[lead].isspace())):
+    while lead < size and (block[lead] in OPENERS or block[lead] in "\"'¿¡‘" or _kind(block[lead]) == "emoji" or (lead > after and block[lead].isspace())):
         lead += 1
     nxt = _kind(block[lead : lead + 1])
-    opens = lead > after
-    word = _NEXT.match(block, lead)
+    if s == e and not block[s].isspace():
+        return ("han", block[s - 1], block[max(0, s - 2) : s], block[s], block[s : s + 2])
+    word = _NEXT.match(block, lead, lead + 40)
     next_word = word.group() if word else ""
     if nxt == "lower" and re.match(r"[a-z]{1,2}[\d/]", block[lead : lead + 3]):
         nxt = "code"  # v2.1, f/8
-    before = block[max(0, s - 40) : s].rstrip("   ")
+    whole = block[max(0, s - 40) : s]
+    before = whole.rstrip("   ")
     found = _WORD.search(before)
     token = found.group().lstrip("'’(") if found else ""
-    spaced = before != block[max(0, s - 40) : s]
     prev = _kind(before[-1:])
-    inside = depth[end - 1] > 0 if end > 0 and opener is None else depth[end] > 0 and block[end] not in OPENERS and block[end] != '"'
-    if mark == "":
-        short = token.rstrip(".").lower()
-        follows = block[after:].split(maxsplit=1)[0].strip("()\"“”").lower()
-        abbreviated = short in _ALWAYS or (follows.endswith(".") and follows.rstrip(".") in _ALWAYS)
-        return [
-            "gap", f"gap:{_kind(block[s - 1 : s])}:{nxt}", f"gap:in={inside}",
-            f"gap:digit={prev == 'digit' or nxt == 'digit'}", f"gap:latin={prev in ('upper', 'lower') or nxt in ('upper', 'lower')}", f"gap:abbr={abbreviated}",
-        ]
+    depth = spans.depth(end - 1) if end > 0 and opener is None else spans.depth(end)
+    inside = depth > 0 and (opener is None or (block[end] not in OPENERS and block[end] != '"'))
+    if s == e:
+        follows = _TOKEN.match(block, after, after + 40).group().strip("()\"“”").lower()
+        abbreviated = token.rstrip(".").lower() in _ALWAYS or (follows.endswith(".") and follows.rstrip(".") in _ALWAYS)
+        left = _kind(block[s - 1 : s])
+        ends = ("", "") if left in ("thai", "lao") or (marked and left != "burmese") else (block[max(0, s - 3) : s], block[after : after + 2])
+        return ("gap", left, nxt, inside, prev, abbreviated, marked, *ends)
+    mark = block[s:e]
     kind = "dot" if mark == "." else "dots" if set(mark) <= {"."} else "ellipsis" if "…" in mark else "wide" if ord(mark[0]) > 0x2E7F else "danda" if mark[0] in "।॥" else "bang"
-    f = ["mark", f"m={kind}", f"m={kind}:gap={gap}", f"m={kind}:n={nxt}", f"m={kind}:gap={gap}:n={nxt}:o={opens}", f"in={inside}"]
     if inside:
-        return ["mark", "in=True", f"in=True:m={kind}"]
+        return ("inside", kind)
     if opener is not None:
-        bracket = block[opener] in "([{（【"
-        lead_in = block[:opener].rstrip()[-1:]
-        colon = lead_in in (":", "：")
+        at = opener
+        while at > 0 and block[at - 1].isspace():
+            at -= 1
+        lead_in = block[at - 1 : at]
         first = not lead_in or lead_in in MARKS or opener == start or "\n" in block[opener - 1 : opener]
-        cased = nxt in ("upper", "lower", "digit")
-        return ["mark", "closed", f"closed:b={bracket}", f"closed:colon={colon}:b={bracket}", f"closed:colon={colon}:cased={cased}", f"closed:n={nxt}", f"closed:colon={colon}:n={nxt}:first={first}", f"closed:before={'colon' if colon else _kind(lead_in)}:n={nxt}",
-                f"closed:first={first}:cased={cased}", f"closed:w={block[lead : lead + 1] if not cased else ''}:colon={colon}"]
+        return ("closed", block[opener] in "([{（【", lead_in in (":", "："), nxt, first, _kind(lead_in), block[lead : lead + 1] if nxt not in _CASED else "")
+    if kind != "dot":
+        return ("mark", kind, gap, nxt, lead > after)
+    short = token.lower()
+    head = before[: found.start()].rstrip().split() if found else []
+    pair = (head[-1].lower().strip("(„\"") + short) if head and head[-1].endswith(".") else ""
+    always, may = _abbreviation(short)
+    always, may = always or pair in _ALWAYS, may or pair in _MAY
+    single = len(token) == 1 and token.isalpha()
+    shape = "num" if token.isdigit() else "dec" if _DECIMAL.fullmatch(token) else ("singleU" if token.isupper() else "singlel") if single else "word"
+    terse = shape == "word" and len(token) < 5 and token.isalpha() and not _VOWEL.search(short)
+    lone = always and found is not None and (len(before) == len(token) or before[: len(before) - len(token)].rstrip()[-1:] in (*MARKS, "|"))
+    ordinal = shape == "num" and bool(head) and head[-1].lower() in _LEADS
+    after_word = block[lead + len(next_word) : lead + len(next_word) + 1]
+    next_short = after_word == "." and any(_abbreviation(next_word.lower()))
+    return (
+        "dot", gap, nxt, lead > after, prev, always, may, shape, before != whole, terse,
+        lone and short in ("no", "max", "min", "art"), lone,
+        found is not None and max(0, s - 40) + found.start() <= start and shape == "num",
+        ordinal, shape == "num" and len(token) > 2, next_word.lower() in _MONTHS,
+        next_word.isupper() and 1 < len(next_word) < 6, next_word.lower() in starters, next_short, (short.rsplit(".", 1)[-1] if short not in _MAY else short) if may else "",
+    )
+
+
+_TOKEN = re.compile(r"\S+")
+_DECIMAL = re.compile(r"[\d.,/:_v]+")
+
+
+def features(a: tuple) -> list[str]:
+    """The features that a candidate's attributes switch on."""
+    if a[0] == "han":
+        _, last, last2, first, first2 = a
+        return ["han", f"han:l={last}", f"han:ll={last2}", f"han:n={first}", f"han:nn={first2}", f"han:{last}{first}"]
+    if a[0] == "gap":
+        _, left, nxt, inside, prev, abbreviated, marked, tail, head = a
+        return [
+            "gap", f"gap:{left}:{nxt}", f"gap:in={inside}", f"gap:{left}:marked={marked}", f"gap:digit={prev == 'digit' or nxt == 'digit'}",
+            f"gap:latin={prev in ('upper', 'lower') or nxt in ('upper', 'lower', 'code')}", f"gap:abbr={abbreviated}", f"gap:tail={tail}", f"gap:tail={tail[1:]}", f"gap:head={head}",
+        ]
+    if a[0] == "inside":
+        return ["mark", "in=True", f"in=True:m={a[1]}"]
+    if a[0] == "closed":
+        _, bracket, colon, nxt, first, lead_in, ch = a
+        cased = nxt in _CASED
+        return ["mark", "closed", f"closed:b={bracket}", f"closed:colon={colon}:b={bracket}", f"closed:colon={colon}:cased={cased}", f"closed:n={nxt}", f"closed:colon={colon}:n={nxt}:first={first}",
+                f"closed:before={'colon' if colon else lead_in}:n={nxt}", f"closed:first={first}:cased={cased}", f"closed:w={ch}:colon={colon}"]
+    kind, gap, nxt, opens = ("dot", *a[1:4]) if a[0] == "dot" else a[1:5]
+    f = ["mark", f"m={kind}", f"m={kind}:n={nxt}"]
     if kind in ("dots", "ellipsis"):
-        return [*f[:2], f"m={kind}:n={nxt}", f"m={kind}:lower={nxt == 'lower'}", f"m={kind}:gap={gap}"]
-    if kind == "dot":
-        short = token.lower()
-        bare = short.rsplit("/", 1)[-1].lstrip("-–—")
-        if bare not in _ALWAYS and bare not in _MAY:
-            bare = bare.rsplit(".", 1)[-1]
-        head = before[: found.start()].rstrip().split() if found else []
-        pair = (head[-1].lower().strip("(„\"") + short) if head and head[-1].endswith(".") else ""
-        always = bare in _ALWAYS or pair in _ALWAYS
-        may = bare in _MAY or pair in _MAY
-        single = len(token) == 1 and token.isalpha()
-        shape = "num" if token.isdigit() else "dec" if re.fullmatch(r"[\d.,/:_v]+", token) else "single" + ("U" if token.isupper() else "l") if single else "word"
-        at_start = found is not None and max(0, s - 40) + found.start() <= start and shape == "num"
-        lone = always and (len(before) == len(token) or before[: len(before) - len(token)].rstrip()[-1:] in (*MARKS, "|")) if found else False
-        glued = gap == "none"
-        f += [f"dot:always={always}:n={nxt}", f"dot:may={may}:n={nxt}", f"dot:shape={shape}:n={nxt}:gap={gap}", f"dot:p={prev}:n={nxt}:gap={gap}", f"dot:always={always}", f"dot:glued={glued}:n={nxt}", f"dot:spaced={spaced}"]
-        if always:
-            f.append(f"dot:lone={lone}:digit={nxt == 'digit'}:word={bare in ('no', 'max', 'min', 'art')}")
-        if at_start:
-            f.append("dot:item")
-        if shape == "num":
-            ordinal = bool(head) and head[-1].lower() in _LEADS
-            f += [f"dot:ordinal={ordinal}:big={len(token) > 2}:n={nxt}", f"dot:ordinal={ordinal}:month={next_word.lower() in _MONTHS}:n={nxt}"]
-        if glued and nxt == "upper":
-            f.append(f"dot:glued:caps={next_word.isupper() and 1 < len(next_word) < 6}:p={prev}")
+        return [*f, f"m={kind}:lower={nxt == 'lower'}", f"m={kind}:gap={gap}"]
+    f += [f"m={kind}:gap={gap}", f"m={kind}:gap={gap}:n={nxt}:o={opens}"]
+    if kind != "dot":
+        return f
+    _, gap, nxt, opens, prev, always, may, shape, spaced, terse, counted, lone, item, ordinal, big, month, caps, starter, next_short, ending = a
+    f += [f"dot:always={always}:n={nxt}", f"dot:may={may}:n={nxt}", f"dot:may={may}:starter={starter}", f"dot:shape={shape}:n={nxt}:gap={gap}", f"dot:p={prev}:n={nxt}:gap={gap}", f"dot:always={always}",
+          f"dot:glued={gap == 'none'}:n={nxt}", f"dot:spaced={spaced}", f"dot:terse={terse}:n={nxt}", f"dot:shape={shape}:starter={starter}", f"dot:next_short={next_short}", f"dot:ending={ending}:n={nxt}"]
+    if always:
+        f.append(f"dot:lone={lone}:digit={nxt == 'digit'}:word={counted or not lone}")
+    if item:
+        f.append("dot:item")
+    if shape == "num":
+        f += [f"dot:ordinal={ordinal}:big={big}:n={nxt}", f"dot:ordinal={ordinal}:month={month}:n={nxt}"]
+    if gap == "none" and nxt == "upper":
+        f.append(f"dot:glued:caps={caps}:p={prev}")
     return f
 
 
 class SentenceModel:
-    """Weights of the chain: boundary features and tag transitions."""
+    """Weights of the chain: boundary features and tag transitions; and words that begin sentences."""
 
-    def __init__(self, weights: dict[str, float], moves: dict[tuple[int, int], float]):
-        self.weights, self.moves = weights, moves
+    def __init__(self, weights: dict[str, float], moves: dict[tuple[int, int], float], starters: frozenset[str] = frozenset()):
+        self.weights, self.moves, self.starters = weights, moves, starters
+        self.known: dict[tuple, float] = {}
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """The best tag sequence (1 = a sentence ends here) by Viterbi's algorithm."""
-        w, m = self.weights, self.moves
-        score, back = None, []
+    def decode(self, rows: list[tuple]) -> list[int]:
+        """The best tag sequence (1 = a sentence ends here) of the candidates' attributes."""
+        w, known = self.weights, self.known
+        scores = []
         for row in rows:
-            own = sum(w.get(f, 0.0) for f in row)
-            if score is None:
-                score, step = (0.0, own), (0, 0)
-            else:
-                a0, a1 = score[0] + m[0, 0], score[1] + m[1, 0]
-                b0, b1 = score[0] + m[0, 1], score[1] + m[1, 1]
-                step = (int(a1 > a0), int(b1 > b0))
-                score = (max(a0, a1), max(b0, b1) + own)
-            back.append(step)
-        if score is None:
+            own = known.get(row)
+            if own is None:
+                if len(known) > 200_000:
+                    known.clear()
+                own = known[row] = sum(w.get(f, 0.0) for f in features(row))
+            scores.append(own)
+        return self.viterbi(scores)
+
+    def viterbi(self, scores: list[float]) -> list[int]:
+        """The best tag sequence for the candidates' scores, by Viterbi's algorithm."""
+        if not scores:
             return []
-        tag = int(score[1] > score[0])
-        tags = []
+        m = self.moves
+        m00, m10, m01, m11 = m[0, 0], m[1, 0], m[0, 1], m[1, 1]
+        low, high, back = 0.0, scores[0], []
+        for own in scores[1:]:
+            a0, a1, b0, b1 = low + m00, high + m10, low + m01, high + m11
+            back.append((a1 > a0, b1 > b0))
+            low, high = (a1 if a1 > a0 else a0), (b1 if b1 > b0 else b0) + own
+        tag = int(high > low)
+        tags = [tag]
         for step in reversed(back):
+            tag = int(step[tag])
             tags.append(tag)
-            tag = step[tag]
         return tags[::-1]
 
     def ends(self, text: str) -> list[tuple[int, int]]:
@@ -259,9 +325,10 @@ class SentenceModel:
             block = text[a:b]
             marker = _MARKER.match(block)
             start = marker.end() if marker else 0
-            depth, pairs = spans(block)
-            cands = [c for c in candidates(block, pairs) if c[2] > start]
-            tags = self.decode([features(block, start, depth, c) for c in cands])
+            spans = Spans(block)
+            cands = [c for c in candidates(block, spans.pairs) if c[2] > start]
+            marked = bool(_OWN_MARK.search(block))
+            tags = self.decode([attributes(block, start, spans, c, self.starters, marked) for c in cands])
             begin = 0
             for c, tag in zip(cands, tags, strict=True):
                 if tag:
@@ -278,29 +345,51 @@ def _number(rng: random.Random) -> str:
     return rng.choice([str(rng.randint(1, 30)), str(rng.choice([50, 100, 320, 1600])), f"{rng.randint(0, 9)}.{rng.randint(0, 99)}", f"1/{rng.randint(10, 500)}", f"{rng.randint(0, 9)},{rng.randint(1, 9)}"])
 
 
-def _passages() -> list[tuple[str, str]]:
-    return [(lang, line) for lang, lines in LESSONS.items() for line in lines.strip().splitlines()]
+Passage = tuple[str, str, str]  # language, subject, line
+
+
+def _passages() -> list[Passage]:
+    return [(lang, subject, line) for lang, subjects in LESSONS.items() for subject, lines in subjects.items() for line in lines.strip().splitlines()]
+
+
+def _starters(passages: list[Passage]) -> frozenset[str]:
+    """Words that begin sentences of the passages and stand in few other places."""
+    begin: dict[str, int] = defaultdict(int)
+    for _, _, line in passages:
+        for part in line.split("|"):
+            word = _NEXT.search(part)
+            if word and _kind(word.group()[0]) == "upper":
+                begin[word.group().lower()] += 1
+    return frozenset(w for w, n in begin.items() if n > 1)
+
+
+_STRIPPED = {"th": 0.3, "lo": 0.5, "km": 0.4, "my": 0.4, "zh": 0.15, "ja": 0.15}  # share of blocks without their marks
+_SPACELESS = ("zh", "ja")
+_PUNCTUATION = re.compile(rf"[{re.escape(MARKS)},，、；;：:“”「」\"]+")
 
 
-def _compose(rng: random.Random, passages: list[tuple[str, str]]) -> tuple[str, set[int]]:
+def _compose(rng: random.Random, passages: list[Passage]) -> tuple[str, set[int]]:
     """A block of a few passages, and where its sentences end."""
     text, ends = "", set()
     lang = rng.choice(sorted({p[0] for p in passages}))
     own = [p for p in passages if p[0] == lang]
-    for _ in range(rng.randint(1, 5)):
-        kind, line = rng.choice(own if rng.random() < 0.75 else passages)
+    stripped = rng.random() < _STRIPPED.get(lang, 0.0)
+    pure = stripped or lang in ("km", "my")  # white space means another thing there
+    for _ in range(rng.randint(4, 8) if stripped and lang in _SPACELESS else rng.randint(1, 5)):
+        kind, _, line = rng.choice(own if pure or rng.random() < 0.75 else [p for p in passages if p[0] not in ("km", "my")])
         line = re.sub("[#@]", lambda m: _number(rng) if m.group() == "#" else str(rng.randint(1, 31)), line)
-        if kind == "th" and rng.random() < 0.3:
-            line = line.replace("!", "")
         for i, part in enumerate(line.split("|")):
+            if stripped:
+                part = " " * part.startswith(" ") + re.sub(r"\s+", " ", _PUNCTUATION.sub("" if kind in _SPACELESS else " ", part)).strip()
             if not part.strip():
                 continue
-            join = "" if not text else part[: len(part) - len(part.lstrip())] if i else rng.choice(["", " "]) if kind in ("zh", "ja") else " "
-            if text and kind not in ("zh", "ja", "th") and not part[:1].strip() == "" and not join:
+            join = "" if not text else part[: len(part) - len(part.lstrip())] if i else rng.choice(["", " "]) if kind in _SPACELESS and not stripped else "" if kind in _SPACELESS else " "
+            if text and kind not in (*_SPACELESS, "th") and not part[:1].strip() == "" and not join:
                 join = " "
             if join == " ":
                 r = rng.random()
-                join = "  " if r < 0.04 else "\n" if r < 0.09 and kind != "th" else "" if r < 0.15 and kind != "th" and text[-1] in MARKS and not part.strip()[0].islower() and not part.strip()[0].isdigit() else " " if r < 0.17 and kind != "th" else " "
+                spaced = kind not in ("th", "lo", "km", "my")
+                join = "  " if r < 0.04 else "\n" if r < 0.09 and spaced else "" if r < 0.15 and spaced and text[-1] in MARKS and not part.strip()[0].islower() and not part.strip()[0].isdigit() else " " if r < 0.17 and spaced else " "
             if kind != "th":  # lines may be wrapped anywhere
                 part = re.sub(" ", lambda _: "\n" if rng.random() < 0.06 else " ", part.strip())
             text += join + part.strip()
@@ -308,33 +397,38 @@ def _compose(rng: random.Random, passages: list[tuple[str, str]]) -> tuple[str,
     return text, ends
 
 
-def _labelled(rng: random.Random, passages: list[tuple[str, str]], count: int) -> list[tuple[list[list[str]], list[int]]]:
+def _labelled(rng: random.Random, passages: list[Passage], count: int, starters: frozenset[str]) -> list[tuple[list[tuple], list[int]]]:
     out = []
     for _ in range(count):
         text, ends = _compose(rng, passages)
-        depth, pairs = spans(text)
-        cands = candidates(text, pairs)
-        out.append(([features(text, 0, depth, c) for c in cands], [int(c[2] in ends) for c in cands]))
+        spans = Spans(text)
+        cands = candidates(text, spans.pairs)
+        marked = bool(_OWN_MARK.search(text))
+        out.append(([attributes(text, 0, spans, c, starters, marked) for c in cands], [int(c[2] in ends) for c in cands]))
     return out
 
 
-def train(sequences: int = 6_000, rounds: int = 6, seed: int = 3, passages: list[tuple[str, str]] | None = None) -> SentenceModel:
+def train(sequences: int = 6_000, rounds: int = 6, seed: int = 3, passages: list[Passage] | None = None) -> SentenceModel:
     """An averaged structured perceptron over ``sequences`` composed blocks."""
     rng = random.Random(seed)
-    data = _labelled(rng, passages or _passages(), sequences)
+    passages = passages or _passages()
+    starters = _starters(passages)
+    data = _labelled(rng, passages, sequences, starters)
+    names = {row: features(row) for rows, _ in data for row in rows}
     w: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     moves = {(a, b): 0.0 for a in (0, 1) for b in (0, 1)}
     move_total = dict.fromkeys(moves, 0.0)
+    model = SentenceModel(w, moves, starters)
     step = 1
     for _ in range(rounds):
         rng.shuffle(data)
         for rows, gold in data:
-            guess = SentenceModel(w, moves).decode(rows)
+            guess = model.viterbi([sum(w[f] for f in names[row]) for row in rows])
             if guess != gold:
                 for i, (row, g, t) in enumerate(zip(rows, guess, gold, strict=True)):
                     if g != t:
-                        for f in row:
+                        for f in names[row]:
                             w[f] += t - g
                             total[f] += step * (t - g)
                     if i:
@@ -342,7 +436,7 @@ def train(sequences: int = 6_000, rounds: int = 6, seed: int = 3, passages: list
                             moves[tags[i - 1], tags[i]] += sign * 0.02
                             move_total[tags[i - 1], tags[i]] += sign * 0.02 * step
             step += 1
-    return SentenceModel({f: v - total[f] / step for f, v in w.items() if v - total[f] / step}, {k: v - move_total[k] / step for k, v in moves.items()})
+    return SentenceModel({f: v - total[f] / step for f, v in w.items() if v - total[f] / step}, {k: v - move_total[k] / step for k, v in moves.items()}, starters)
 
 
 @lru_cache(maxsize=1)
@@ -352,10 +446,10 @@ def default_model() -> SentenceModel:
 
 def _make_split(model: SentenceModel | None, with_text: bool) -> Callable[[], Callable[..., list[tuple]]]:
     model = model or default_model()
-    weights, moves = dict(model.weights), dict(model.moves)
+    weights, moves, starters = dict(model.weights), dict(model.moves), model.starters
 
     def make() -> Callable[..., list[tuple]]:
-        own = SentenceModel(weights, moves)
+        own = SentenceModel(weights, moves, starters)
 
         def split(doc_id: int | None, text: str | None) -> list[tuple]:
             ends = own.ends(text) if text else []

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumaframe.llm import mixing, neighbors, overlaps, packing, sentences, splits, tokens
+from lumaframe.llm import vectors as vec_module
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.queries import queries
 from lumaframe.operators import skew
@@ -47,8 +49,7 @@ def test_components(spark, shape):
 
 
 def test_components_with_hot_centres(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_ROWS", 0)
-    monkeypatch.setattr(skew, "hot_keys", lambda rows, key: ["m", "n1"])
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
     links = [("m", f"n{i}") for i in range(50)] + [("n1", "z"), ("q", "r")]
     df = spark.createDataFrame(links, "u string, v string")
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == roots(links)
@@ -85,6 +86,23 @@ def test_assigned_splits_keep_units_whole(spark):
     assert splits.assign_splits(fold(spark, rows).limit(0), targets).count() == 0
 
 
+def test_units_of_one_giant_component(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    rows = [(i, f"{i}_7", "7", ("train", "test")[i % 2], 0) for i in range(60)] + [(100, "500_8", "8", "train", 0)]
+    got = {tuple(r) for r in splits.torn_rows(fold(spark, rows)).collect()}
+    assert got == {(0, i) for i in range(60)}
+
+
+def test_a_stored_salt_keeps_rows_where_they_were(spark):
+    rows = [(i, f"{i}_{i // 3}", None, "train", 0) for i in range(300)]
+    targets = spark.createDataFrame([("train", 0.7), ("test", 0.3), (None, 0.5)], "split_name string, target_share double")
+    salt = splits.best_salt(fold(spark, rows), targets)
+    first = {r["row_id"]: r["split_name"] for r in splits.assign_splits(fold(spark, rows), targets).collect()}
+    more = fold(spark, rows + [(1000 + i, f"{i}_{900 + i}", None, "train", 0) for i in range(200)])
+    later = {r["row_id"]: r["split_name"] for r in splits.assign_splits(more, targets, salt=salt).collect()}
+    assert {i: later[i] for i in first} == first
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, f"row_id bigint, scene_id string, dataset_split string, label_source string, fixed_features {FEATURES}, vec string, rep int")
 
@@ -112,7 +130,37 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert overlaps.cross_split_pairs(df.limit(0)).count() == 0
     counts = overlaps.overlap_counts(df).collect()
     assert sum(r["scene_pairs"] + r["near_pairs"] for r in counts) == len(expected)
+    assert sum(r["overlapping_rows"] for r in counts) == len({a for a, _ in expected})
+    assert overlaps.overlap_recall(df, F.lit(True)).first()["recall"] == 1.0
+    members, links = overlaps.overlap_classes(df)
+    side = {r["row_id"]: r["class_id"] for r in members.collect()}
+    near = {(r["eval_class"], r["train_class"]) for r in links.collect()}
+    for a in rows:
+        for b in rows:
+            if word.get(a[2]) == "e" and word.get(b[2]) == "r" and a[0] < 1000 and b[0] < 1000:
+                assert ((side[a[0]], side[b[0]]) in near) == bool(unit[a[0]] @ unit[b[0]] >= 0.99)
+
+
+def test_near_pairs_of_a_hot_vector(spark):
+    """One evaluation vector held by a third of all rows, near many train classes of its own scene and of others."""
+    rng = np.random.default_rng(9)
+    base = rng.random(192) + 0.5
+    rows = [(i, f"{i % 7}_1", "val", "a", (base.tolist(), None), "x", 1) for i in range(40)]
+    rows += [(100 + i, f"{i % 5}_1", "train", "a", ((base + rng.normal(0, 0.01, 192)).tolist(), None), "x", 1) for i in range(60)]
+    df = vectors(spark, rows)
+    pairs = overlaps.cross_split_pairs(df).collect()
+    assert len(pairs) == 40 * 60 and all(r["cosine"] > 0.99 for r in pairs)
+    assert sum(r["same_scene"] for r in pairs) == sum(a[1] == b[1] for a in rows[:40] for b in rows[40:])
+    counts = overlaps.overlap_counts(df).first()
+    assert counts["scene_pairs"] + counts["near_pairs"] == 40 * 60 and counts["overlapping_rows"] == 40
+
 
+def test_dense_blocks_are_emitted_in_parts():
+    kernel = vec_module.NearKernel(0.9)
+    v = np.tile(np.eye(4)[:1], (50, 1))
+    kernel.start(np.arange(50), v)
+    kernel.feed(np.arange(100, 150), v)
+    assert len(kernel.drain(least=100)[0]) == 2500 and len(kernel.end()[0]) == 0
 
 def brute_neighbors(ids, vecs, k):
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
@@ -137,6 +185,25 @@ def test_neighbours_with_ties_and_copies(spark):
     assert {p for p in got if p[0] in big} == {p for p in expected if p[0] in big}
 
 
+def test_rows_with_too_few_in_reach_are_probed_wider(spark):
+    """Two far groups: the smaller one's rows find others only under flipped bits or against all."""
+    rng = np.random.default_rng(12)
+    vecs = np.concatenate([np.eye(32)[0] + rng.normal(0, 0.01, (80, 32)), -np.eye(32)[0] + rng.normal(0, 0.01, (3, 32))])
+    ids = np.arange(1, 84)
+    rows = [(int(i), None, None, None, (None, v.tolist()), "x", 1) for i, v in zip(ids, vecs)]
+    got = {(r["row_id"], r["other_id"]) for r in neighbors.nearest_rows(vectors(spark, rows), F.col("fixed_features.luminance_histogram"), 32).collect()}
+    expected = brute_neighbors(ids, vecs, 5)
+    assert len(got) == 83 * 5 and len(got & expected) >= 0.9 * len(expected)
+    near = {(a, b) for a in (81, 82, 83) for b in (81, 82, 83) if a != b}
+    assert near <= got and all(sum(p[0] == a for p in got) == 5 for a in (81, 82, 83))
+
+
+def test_substrings_get_longer_with_the_rows():
+    assert [vec_module.substring_bits(n) for n in (0, 50_000, 1_000_000, 100_000_000)] == [4, 4, 7, 14]
+    few, many = (vec_module.threshold_index(np.random.default_rng(1).random((500, 192)), n, 192, 0.99, 4e-4) for n in (1_000, 10_000_000))
+    assert few.width < many.width and few.tables < many.tables
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 4])
 def test_neighbours_of_almost_nothing(spark, count):
     rows = [(i, None, None, None, (None, np.eye(32)[i].tolist()), "x", 1) for i in range(count)]
@@ -187,6 +254,31 @@ def test_packing_is_whole_and_near_its_bound(spark, monkeypatch):
     assert packing.pack_documents(docs.limit(0), specs).count() == 0
 
 
+def test_packing_of_repeated_doc_ids(spark):
+    """Full pieces of documents with one doc_id are different pieces."""
+    text = " ".join(["light"] * 40)
+    docs = documents(spark, [(1, text, "a"), (1, text, "a"), (1, text + " on", "a"), (2, "light", "a")])
+    packed = packing.pack_documents(docs, spark.createDataFrame([("short", 16)], "pack_name string, capacity_tokens int")).collect()
+    bins = {}
+    for r in packed:
+        bins[r["container_id"]] = bins.get(r["container_id"], 0) + r["tokens"]
+    sizes = [r["tokens"] for r in tokens.token_counts(docs).collect()]
+    assert max(bins.values()) <= 16 and sum(bins.values()) == sum(sizes)
+
+
+def test_exchange_never_loses_to_its_first_packing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_PARTITION", 25)
+    rng = random.Random(3)
+    rows = [(p, 40 if p == "a" else 64, i, i, 1, 0, rng.choice([7, 11, 13, 17, 19, 23, 29, 31])) for p in "ab" for i in range(300)]
+    pieces = spark.createDataFrame(rows, packing._PIECE)
+    made = [{r["pack_name"]: r["n"] for r in packing._exchanged(pieces, n).groupBy("pack_name").agg(F.count_distinct("container_id").alias("n")).collect()} for n in (1, 8)]
+    assert all(made[1][p] <= made[0][p] for p in "ab") and sum(made[1].values()) < sum(made[0].values())
+    for r in packing._exchanged(pieces, 8).groupBy("pack_name", "container_id").agg(F.sum("tokens").alias("t")).collect():
+        assert r["t"] <= (40 if r["pack_name"] == "a" else 64)
+    whole = packing._exchanged(pieces, 8)
+    assert whole.count() == 600 and whole.select("pack_name", "doc_id").distinct().count() == 600
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=9), st.just(30))
 def test_lower_bound_never_exceeds_the_optimum(sizes, capacity):
@@ -208,14 +300,30 @@ def test_lower_bound_never_exceeds_the_optimum(sizes, capacity):
     assert packing.lower_bound(sizes, capacity) <= best
 
 
-def test_pfair_lag_stays_below_one_block():
-    counts = {"a": 503, "b": 251, "c": 140, "d": 105, "e": 1}
-    slots = mixing.pfair_slots(counts)
-    total, seen = sum(counts.values()), dict.fromkeys(counts, 0)
-    assert len(slots) == total
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - counts[x] * t / total) < 1 for x in counts)
+def largest_lag(counts):
+    names = sorted(counts)
+    of = {s: i for i, s in enumerate(names)}
+    order = np.array([of[s] for s in mixing.pfair_slots(counts)])
+    total = sum(counts.values())
+    assert len(order) == total
+    t = np.arange(1, total + 1)
+    return max(np.abs(np.cumsum(order == i) - counts[s] * t / total).max() for i, s in enumerate(names))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 3_000), min_size=1, max_size=7))
+def test_pfair_lag_stays_below_one_block(sizes):
+    assert largest_lag({f"s{i}": n for i, n in enumerate(sizes)}) < 1
+
+
+def test_pfair_lag_over_a_million_slots():
+    assert largest_lag({"a": 300_049, "b": 699_951}) < 1
+    assert largest_lag({"a": 1, "b": 333_337, "c": 166_669, "d": 7}) < 1
+
+
+def test_blocks_grow_with_the_mixture():
+    assert mixing.block_size(10**6) == mixing.BLOCK_TOKENS
+    assert 10**13 / mixing.block_size(10**13) <= mixing.SLOTS
 
 
 def test_mixture(spark):
@@ -231,6 +339,9 @@ def test_mixture(spark):
     shares = {r["source_name"]: r["actual_share"] for r in mixing.mix_shares(mixture, targets).collect()}
     assert abs(shares["big"] - 0.5 / 0.85) < 0.03 and abs(shares["small"] - 0.3 / 0.85) < 0.03 and shares["absent"] == 0
     assert mixture.groupBy("doc_id", "repeat_no").count().where("count > 1").count() == 0
+    # at every slot each source has given what the schedule of its blocks says, to within a block and the document across its end
+    each = mixture.groupBy("slot").agg(F.max("source_name").alias("a"), F.min("source_name").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in each)
     assert mixing.mix_documents(docs.limit(0), targets).count() == 0
 
 
@@ -271,18 +382,60 @@ def test_sentences_cover_every_character():
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
-def test_held_out_accuracy():
+HARD = {
+    "The U.S. Army came. Nobody left.": ["The U.S. Army came.", "Nobody left."],
+    "Hill Co. Ltd. was sold. It had debts.": ["Hill Co. Ltd. was sold.", "It had debts."],
+    "Ο κ. Παπαδόπουλος ήρθε. Έφυγε αμέσως.": ["Ο κ. Παπαδόπουλος ήρθε.", "Έφυγε αμέσως."],
+    "Мы жили на ул. Ленина. Там тихо!": ["Мы жили на ул. Ленина.", "Там тихо!"],
+    "그는 일찍 떠났다. 왜일까? 모른다.": ["그는 일찍 떠났다.", "왜일까?", "모른다."],
+}
+
+
+def test_hard_cases():
+    model = sentences.default_model()
+    for text, expected in HARD.items():
+        assert [text[a:b] for a, b in model.ends(text)] == expected, text
+
+
+@pytest.mark.parametrize("held", [("en", "voyage"), ("de", "reise"), ("fr", "voyage"), ("es", "viaje"), ("hi", "यात्रा"), ("ar", "رحلة")])
+def test_accuracy_on_held_out_subjects(held):
+    """The model never saw the subject; most of its boundaries are right all the same."""
     passages = sentences._passages()
-    rng = random.Random(8)
-    rng.shuffle(passages)
-    cut = len(passages) // 5
-    model = sentences.train(passages=passages[cut:])
+    model = sentences.train(2_500, 5, passages=[p for p in passages if p[:2] != held])
+    rest = [p for p in passages if p[:2] == held]
     right = total = 0
-    for rows, gold in sentences._labelled(random.Random(9), passages[:cut], 400):
+    for rows, gold in sentences._labelled(random.Random(9), rest, 150, model.starters):
         guess = model.decode(rows)
         right += sum(a == b for a, b in zip(guess, gold))
         total += len(gold)
-    assert right / total > 0.93
+    assert right / total > 0.88
+
+
+def test_marks_can_be_missing_in_unpunctuated_scripts():
+    model = sentences.default_model()
+    for lang in ("km", "my", "zh", "ja"):
+        own = [p for p in sentences._passages() if p[0] == lang]
+        rng, right, found, true = random.Random(4), 0, 0, 0
+        for _ in range(400):
+            text, ends = sentences._compose(rng, own)
+            if not any(m in text for m in "។။。！？!?") and len(ends) > 1:
+                got = {b for _, b in model.ends(text)}
+                right, found, true = right + len(got & ends), found + len(got), true + len(ends)
+        assert true and right / true > 0.6 and right / found > 0.6, (lang, right, found, true)
+
+
+@pytest.mark.parametrize("piece", ["ไฟดับแล้ว ภาพนี้ใช้ ISO 320 ก็พอ ", 'He said: "Go on. Now!" and left (at 5 p.m. or so). ', '"(« ', "a. ", " \n"])
+def test_time_is_linear_in_the_length(piece):
+    model = sentences.default_model()
+
+    def seconds(n):
+        text = (piece * (n // len(piece) + 1))[:n]
+        began = time.process_time()
+        model.ends(text)
+        return time.process_time() - began
+
+    seconds(50_000)
+    assert seconds(1_600_000) < 8 * max(seconds(400_000), 0.05)
 
 
 def test_sentence_rows(spark):
