@@ -190,3 +190,24 @@ def scene_name_parts(name: Column) -> Column:
             shutter_token(part(4)).alias("shutter"), part(5).try_cast("int").alias("color_temperature"), part(6).alias("brightness_level"),
         ),
     )
+
+
+def is_effective(iso: Column, shutter: Column, to_iso: Column, to_shutter: Column, least: float = 0.05) -> Column:
+    """Whether an action changes the exposure by at least ``least`` stops."""
+    return F.abs(exposure_change(to_iso, to_shutter, iso, shutter)) >= lit(least)
+
+
+def ev_or_derived(ev: Column, iso: Column, shutter: Column) -> Column:
+    """The stated EV, else the one that ISO and shutter give."""
+    return F.coalesce(ev, relative_ev(iso, shutter))
+
+
+def folder_scene(path: Column) -> Column:
+    """``'a_b'`` of the first two tokens of the name of a file's folder; null with fewer than two."""
+    tokens = F.split(F.element_at(F.split(path, "/"), -2), "_")
+    return F.when(F.size(F.split(path, "/")) >= 2, F.when(F.size(tokens) >= 2, F.concat_ws("_", F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1)))))
+
+
+def variant_name(scene: Column, offset: Column) -> Column:
+    """The name of a scene's exposure variant: ``<scene>-`` and the offset with its sign and two decimals."""
+    return F.concat(scene, F.lit("-"), F.when(offset < 0, "-").otherwise("+"), F.format_string("%.2f", F.abs(offset)))

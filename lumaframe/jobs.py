@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lumaframe.operators import splits
 from lumaframe.plans import catalog
 from lumaframe.session import get_spark
+from lumaframe.sources.jsonl import write_one_file
 from lumaframe.sources.tables import table
 
 
@@ -35,11 +36,15 @@ def write_manifest(spark, data: str, out: str, seed: int, folds: int) -> None:
     train = rows.join(assigned.where("split = 'train'"), "physical_scene_id", "left_semi")
     numbered = assigned.join(splits.cross_folds(train, "physical_scene_id", folds, seed), "physical_scene_id", "left")
     counts = splits.split_counts(assigned).first().asDict()
-    with open(out, "w", encoding="utf-8") as f:
-        f.write('{"seed": %d, "counts": %s, "groups": {' % (seed, json.dumps(counts)))
-        for i, r in enumerate(numbered.orderBy("physical_scene_id").toLocalIterator()):
-            f.write(("," if i else "") + f"\n{json.dumps(r[0])}: " + json.dumps({"split": r["split"], "fold": r["fold"]}))
-        f.write("\n}}\n")
+    entry = F.to_json(F.struct(F.col("physical_scene_id").alias("k")))
+    name = F.expr("substr(j, 6, length(j) - 6)")  # the group as a JSON string
+    body = numbered.select("physical_scene_id", entry.alias("j"), F.to_json(F.struct("split", "fold"), {"ignoreNullFields": "false"}).alias("v"))
+    body = body.select(F.lit(1).alias("part"), "physical_scene_id", F.concat(name, F.lit(": "), "v").alias("line"))
+    first = F.col("physical_scene_id") == F.lit(assigned.agg(F.min("physical_scene_id")).first()[0])
+    body = body.withColumn("line", F.concat(F.when(first, "").otherwise(","), "line"))
+    head, foot = '{"seed": %d, "counts": %s, "groups": {' % (seed, json.dumps(counts)), "}}"
+    ends = spark.createDataFrame([(0, None, head), (2, None, foot)], "part int, physical_scene_id string, line string")
+    write_one_file(ends.unionByName(body).orderBy("part", "physical_scene_id").select("line"), out)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.functions import decisions
 from lumaframe.functions.exprs import lit, stable_id
 
 
@@ -61,3 +62,31 @@ def run_reports(runs: DataFrame, iterations: DataFrame) -> DataFrame:
     head = F.to_json(F.struct(F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("stopped", F.lit("")).alias("stopped")))
     report = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"rounds":['), F.array_join(F.transform(steps, lambda s: s["json"]), ","), F.lit("]}"))
     return joined.select("run_key", F.size(steps).alias("rounds"), report.alias("report"), text.alias("markdown"))
+
+
+def memory_examples(memory: DataFrame) -> DataFrame:
+    """Two chat rows for every row of a memory: the first question, and the one with what was retrieved.
+
+    Input: experience rows with ``row_id``.  Output: ``row_id, stage, example_id,
+    dataset_split, messages``.  Rows without a usable final action, starting settings or
+    image path give none.  All of it is one projection and one explode.
+    """
+    iso, shutter = F.col("final_action.iso"), F.col("final_action.shutter")
+    usable = (iso >= 1) & (shutter > 0) & (shutter < lit(float("inf"))) & F.col("initial_metadata").isNotNull() & F.col("original_image_path").isNotNull()
+    rows = memory.where(F.coalesce(usable, F.lit(False)))
+    action = F.struct(iso.alias("ISO"), shutter.alias("Shutter"))
+    first = F.to_json(F.struct(F.struct(F.col("initial_vlm_action.iso").alias("ISO"), F.col("initial_vlm_action.shutter").alias("Shutter")).alias("action")))
+    meta, features = F.col("initial_metadata"), F.col("fixed_features")
+    prompts = F.array(
+        F.struct(F.lit("initial").alias("stage"), decisions.initial_prompt(meta, features, None).alias("question")),
+        F.struct(F.lit("integration").alias("stage"), decisions.integration_prompt(meta, features, first, None, None).alias("question")),
+    )
+    staged = rows.withColumn("_p", F.explode(prompts))
+    ids = decisions.example_id(
+        cross_fold=F.col("cross_fold"), feedback_image_path=F.lit(None).cast("string"), image_path=F.col("original_image_path"), metadata=meta, physical_scene_id=F.col("physical_scene_id"),
+        quality_calibration_version=F.col("quality_after.calibration_version"), scene_id=F.col("scene_id"), simulator_version=F.col("simulator_version"), source=F.col("label_source"),
+        split=F.col("dataset_split"), stage=F.col("_p.stage"), target_action=action,
+    )
+    answer = F.to_json(F.struct(F.col("quality_after.quality").alias("quality"), action.alias("action"), F.lit(False).alias("continue"), F.col("label_source").alias("reason")))
+    chat = decisions.chat_row(F.lit("You set the exposure of a camera. Answer in JSON."), F.col("original_image_path"), F.col("_p.question"), answer)
+    return staged.select("row_id", F.col("_p.stage").alias("stage"), ids.alias("example_id"), "dataset_split", chat.alias("messages"))

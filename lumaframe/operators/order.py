@@ -78,3 +78,16 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows); a null test counts as bad."""
     test = F.coalesce(ok, F.lit(False))
     return df.where(test), df.where(~test)
+
+
+def first_of(items: Column) -> Column:
+    """The first entry of a list, null for an empty or null one."""
+    return F.get(items, F.lit(0))
+
+
+def grouped_keys(df: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, keys): the distinct keys of every group in ascending order; null groups and keys are left out.
+
+    For groups that are small by nature, as a group's keys are one array.
+    """
+    return df.where(F.col(group).isNotNull() & F.col(key).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(key)).alias("keys"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.operators.blocks import pack_floats, stream_blocks
-from lumaframe.operators.skew import top_per_key
+from lumaframe.operators.skew import hot_key_join, top_per_key
 
 ROWS_PER_SLICE = 50_000
 _FLOOR = 1e-12
@@ -83,12 +83,15 @@ class WeightedKernel:
             hidden |= (self.marks[:, c : c + 1] == marks[:, c]) & (self.marks[:, c : c + 1] >= 0)
         score = np.round(score, self.decimals)
         score[hidden] = np.inf
-        order = np.lexsort((np.broadcast_to(ids, score.shape), score))[:, : self.k] if len(ids) > 1 else np.zeros((len(self.ids), 1), np.int64)
-        rows = np.repeat(np.arange(len(self.ids)), order.shape[1])
-        s, o = score[rows, order.ravel()], ids[order.ravel()]
+        if len(ids) > self.k:  # whatever ties with the k-th stays in
+            edge = np.partition(score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            rows, cols = np.nonzero(score <= edge)
+        else:
+            rows, cols = (x.ravel() for x in np.indices(score.shape))
+        s, o = score[rows, cols], ids[cols]
         keep = np.isfinite(s)
         self.best.append((rows[keep], o[keep], s[keep]))
-        if len(self.best) > 1:
+        if self.best:
             q, o, s = (np.concatenate([b[i] for b in self.best]) for i in range(3))
             order = np.lexsort((o, s, q))
             q, o, s = q[order], o[order], s[order]
@@ -152,11 +155,17 @@ def crossfold_neighbors(queries: DataFrame, memory: DataFrame, key: str, parts:
     return folded.unionByName(weighted_neighbors(queries.where(F.col(fold).isNull()), memory, key, parts, k, excludes))
 
 
-def context(ranked: DataFrame) -> DataFrame:
-    """One row per query: its best neighbour and all of them in order, as structs."""
-    item = F.struct("rank", "other_id", "score")
+def context(ranked: DataFrame, memory: DataFrame | None = None, key: str = "row_id", fields: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
+    """One row per query: its best neighbour, all of them in order, and the weights of the score.
+
+    With ``memory`` every example carries the columns ``fields`` of its row.
+    """
+    item = F.struct("rank", "other_id", "score", *fields)
+    if memory is not None and fields:
+        ranked = hot_key_join(ranked, memory.select(F.col(key).alias("other_id"), *fields), "other_id")
     out = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("examples"))
-    return out.withColumn("best", F.get("examples", F.lit(0)))
+    known = F.create_map(*[F.lit(x) for pair in (weights or {}).items() for x in pair]) if weights else F.lit(None).cast("map<string,double>")
+    return out.withColumns({"best": F.get("examples", F.lit(0)), "distance_weights": known})
 
 
 def leaks(ranked: DataFrame, rows: DataFrame, key: str, group: str) -> DataFrame:

@@ -86,3 +86,8 @@ def bounded_loop(state: DataFrame, step: Callable[[DataFrame], DataFrame], done:
     for s in spent:
         release(s)
     return out
+
+
+def stop_reason(satisfied: Column) -> Column:
+    """Why a loop ended for a row: it was satisfied, or the rounds ran out and its best stays."""
+    return F.when(F.coalesce(satisfied, F.lit(False)), "satisfied").otherwise("max_rounds_best_result")

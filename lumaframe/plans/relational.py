@@ -77,9 +77,9 @@ def scene_name_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT scene_id, concat('/data/', original_image_path) AS path, count(*) AS n FROM fold_0 WHERE original_image_path NOT LIKE '/%' GROUP BY ALL""")
+SELECT scene_id, CASE WHEN original_image_path LIKE '/%' THEN original_image_path ELSE concat('/data/', original_image_path) END AS path, count(*) AS n FROM fold_0 WHERE original_image_path IS NOT NULL GROUP BY ALL""")
 def manifest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "fold_0").where(~F.col("original_image_path").startswith("/"))
+    rows = table(spark, sf, "fold_0").where("original_image_path is not null")
     return rows.groupBy("scene_id", X.resolve_path(F.col("original_image_path"), "/data").alias("path")).agg(F.count("*").alias("n"))
 
 
@@ -166,9 +166,19 @@ def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_split(table(spark, sf, "fold_0"), "physical_scene_id")
 
 
-@query(f"SELECT physical_scene_id, ((place - 1) % 4)::INTEGER AS fold FROM ({_SHUFFLED})")
+@query(f"""
+WITH s AS ({_SPLIT}), t AS (SELECT physical_scene_id, row_number() OVER (ORDER BY md5('42:' || physical_scene_id), physical_scene_id) AS place FROM s WHERE split = 'train')
+SELECT physical_scene_id, ((place - 1) % 4)::INTEGER AS fold FROM t""")
 def crossfold_assign(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.cross_folds(table(spark, sf, "fold_0"), "physical_scene_id")
+    """Folds of the training groups; held-out groups have none."""
+    train = grouped_split(spark, sf).where("split = 'train'")
+    return splits.cross_folds(train, "physical_scene_id")
+
+
+@query("""
+SELECT physical_scene_id, string_agg(DISTINCT scene_id, ',' ORDER BY scene_id) AS keys FROM fold_0 WHERE physical_scene_id IS NOT NULL AND scene_id IS NOT NULL GROUP BY physical_scene_id""")
+def scenes_of_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return order.grouped_keys(table(spark, sf, "fold_0"), "physical_scene_id", "scene_id").select("physical_scene_id", F.array_join("keys", ",").alias("keys"))
 
 
 @query(f"SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM ({_SPLIT})")
@@ -176,14 +186,27 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_counts(grouped_split(spark, sf))
 
 
+_WORD = "regexp_replace(lower(dataset_split), '[^a-z]+', '', 'g')"
+_NAMED = "CASE " + " ".join(f"WHEN {_WORD} IN ({', '.join(repr(w) for w in words)}) THEN '{name}'" for name, words in SPLIT_SYNONYMS.items()) + " END"
+
+
 @query(f"""
-SELECT f.row_id, coalesce(s.split, g.split) AS split FROM fold_0 f LEFT JOIN (SELECT scene_id, min(brightness_level) AS split FROM scenes GROUP BY scene_id) s USING (scene_id) LEFT JOIN ({_SPLIT}) g USING (physical_scene_id)""")
+WITH o AS (SELECT scene_id, min({_NAMED}) AS own FROM experiences GROUP BY scene_id), g AS ({_SPLIT})
+SELECT f.row_id, coalesce(o.own, g.split) AS split FROM fold_0 f LEFT JOIN o USING (scene_id) LEFT JOIN g USING (physical_scene_id)""")
 def split_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "scenes").groupBy("scene_id").agg(F.min("brightness_level").alias("split"))
+    """The split that another table records for a row's scene, else that of its group."""
+    own = table(spark, sf, "experiences").groupBy("scene_id").agg(F.min(split_name(F.col("dataset_split"))).alias("split"))
     rows = table(spark, sf, "fold_0").select("row_id", "scene_id", "physical_scene_id")
     return splits.split_of_scene(rows, own, grouped_split(spark, sf)).select("row_id", "split")
 
 
+@query(f"SELECT coalesce(dataset_split, '') AS value, count(*) AS rows FROM fold_0 WHERE {_NAMED} IS NULL GROUP BY 1")
+def invalid_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Recorded split values that name no split, with their rows."""
+    rows = table(spark, sf, "fold_0").where(split_name(F.col("dataset_split")).isNull())
+    return rows.groupBy(F.coalesce("dataset_split", F.lit("")).alias("value")).agg(F.count("*").alias("rows"))
+
+
 @query("SELECT DISTINCT scene_id FROM fold_0 WHERE scene_id IS NOT NULL AND scene_id NOT IN (SELECT scene_id FROM scenes WHERE scene_id IS NOT NULL)")
 def stale_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return splits.unassigned(table(spark, sf, "fold_0"), table(spark, sf, "scenes"), "scene_id")
@@ -212,6 +235,21 @@ def action_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("target_count", "matched", *[r6(F.col(c)).alias(c) for c in ("match_rate", "iso_mae", "shutter_stops_mae")])
 
 
+_ERROR_FIELDS = ("brightness", "noise", "motion_blur", "highlight", "shadow", "overall_quality")
+_LAST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY recorded_at DESC NULLS LAST, row_id DESC) AS rn FROM experiences WHERE scene_id IS NOT NULL) WHERE rn = 1)"""
+
+
+@query("WITH l AS " + _LAST + " " + " UNION ALL ".join(f"""
+SELECT '{f}' AS field, count(abs(a - b)) AS matched, round(avg(abs(a - b)), 6) + 0.0 AS mae FROM (SELECT CASE WHEN NOT isnan(quality_before.quality.{f}) THEN quality_before.quality.{f} END AS a, CASE WHEN NOT isnan(quality_after.quality.{f}) THEN quality_after.quality.{f} END AS b FROM l)""" for f in _ERROR_FIELDS))
+def quality_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute error of each quality field, the report before taken as a prediction of that after."""
+    rows = table(spark, sf, "experiences").where("scene_id is not null").select("scene_id", "row_id", "recorded_at", "quality_before", "quality_after")
+    last = order.last_wins(rows, ["scene_id"], [F.col("recorded_at"), F.col("row_id")])
+    side = lambda c: last.select("scene_id", f"{c}.quality.*")
+    m = evaluate.quality_errors(side("quality_after"), side("quality_before"), "scene_id", _ERROR_FIELDS)
+    return m.select("field", "matched", r6(F.col("mae")).alias("mae"))
+
+
 @query("""
 SELECT label_source, count(*) AS runs, round(count(*) FILTER (successful) / count(*), 6) + 0.0 AS success_rate, round(avg(CASE WHEN NOT isnan(quality_gain) THEN quality_gain END), 6) + 0.0 AS mean_gain,
   round(avg(abs(final_action.iso - initial_metadata.iso)::DOUBLE), 6) + 0.0 AS mean_iso_change,
@@ -342,6 +380,18 @@ def heuristic_actions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", iso.alias("iso"), _r(shutter, 10).alias("shutter"))
 
 
+@query("""
+SELECT row_id, coalesce(abs(log2(fi / i) + log2(fs / s)) >= 0.05::DOUBLE, false) AS effective, round(coalesce(ev, CASE WHEN i > 0 AND s > 0 THEN log2(1 / s) - log2(i / 100) END), 6) + 0.0 AS ev
+FROM (SELECT row_id, initial_metadata.ev AS ev, CASE WHEN initial_metadata.iso > 0 THEN initial_metadata.iso::DOUBLE END AS i, CASE WHEN initial_metadata.shutter_speed_s > 0 THEN initial_metadata.shutter_speed_s END AS s,
+  CASE WHEN final_action.iso > 0 THEN final_action.iso::DOUBLE END AS fi, CASE WHEN final_action.shutter > 0 THEN final_action.shutter END AS fs FROM experiences)""")
+def effective_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a final action changes the exposure at all, and the EV it started from, derived where it isn't stated."""
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c).cast("double"))
+    i, s, fi, fs = (positive(c) for c in ("initial_metadata.iso", "initial_metadata.shutter_speed_s", "final_action.iso", "final_action.shutter"))
+    rows = table(spark, sf, "experiences")
+    return rows.select("row_id", F.coalesce(X.is_effective(i, s, fi, fs), F.lit(False)).alias("effective"), r6(X.ev_or_derived(F.col("initial_metadata.ev"), i, s)).alias("ev"))
+
+
 # --- search and loop ----------------------------------------------------------------
 
 _GRID = """
@@ -375,67 +425,40 @@ def grid_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("row_id", "ord", "iso", _r(F.col("score"), 9).alias("score"))
 
 
-@query()
+_SCORE = "round(exp(-abs(log2({0} / 400.0::DOUBLE)) - abs(log2({1} * 60.0::DOUBLE))), 9)"
+_AWAY = "round(abs(log2({0} / i)) + abs(log2({1} / s)), 9)"
+
+
+@query(_GRID + f""", a AS (SELECT row_id, -1 AS ord, i AS iso, s AS shutter, i, s FROM c WHERE i > 0 AND s > 0 UNION ALL SELECT row_id, ord, iso, shutter, i, s FROM u WHERE i > 0 AND s > 0),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY {_SCORE.format("iso", "shutter")} DESC, {_AWAY.format("iso", "shutter")}, ord) AS k FROM a) WHERE k = 1),
+o2 AS (SELECT (d + 1) * 3 + k AS ord, d * 100.0::DOUBLE AS d, CASE k WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.0 ELSE 1.25 END AS f FROM (SELECT unnest([-1, 0, 1]) AS d), (SELECT unnest([0, 1, 2]) AS k)),
+g2 AS (SELECT row_id, o2.ord, greatest(50.0::DOUBLE, least(12800.0::DOUBLE, round_even(greatest(b.iso + d, 1), 0))) AS iso, greatest(1 / 8000.0::DOUBLE, least(30.0::DOUBLE, greatest(b.shutter * f, 1e-8::DOUBLE))) AS shutter, i, s FROM b, o2),
+u2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, iso, round(shutter, 10) ORDER BY ord) AS rn FROM g2) WHERE rn = 1),
+z AS (SELECT row_id, ord, iso, shutter, i, s FROM b UNION ALL SELECT row_id, ord + 9, iso, shutter, i, s FROM u2)
+SELECT row_id, ord::INTEGER AS ord, iso, round(shutter, 10) + 0.0 AS shutter, score + 0.0 AS score, distance + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, distance, ord) AS k
+  FROM (SELECT *, {_SCORE.format("iso", "shutter")} AS score, {_AWAY.format("iso", "shutter")} AS distance FROM z)) WHERE k = 1""")
 def two_stage_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "fold_0").select("row_id", F.col("initial_metadata.iso").alias("iso0"), F.col("initial_metadata.shutter_speed_s").alias("shutter0")).where("iso0 > 0 and shutter0 > 0")
-    return search.two_stage_search(rows, "row_id", "iso0", "shutter0", lambda c: c.withColumn("score", _toy_score(F.col("iso"), F.col("shutter"))))
+    out = search.two_stage_search(rows, "row_id", "iso0", "shutter0", lambda c: c.withColumn("score", _toy_score(F.col("iso"), F.col("shutter"))))
+    return out.select("row_id", "ord", "iso", _r(F.col("shutter"), 10).alias("shutter"), _r(F.col("score"), 9).alias("score"), _r(F.col("distance"), 9).alias("distance"))
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT p_partkey, p_retailprice AS value, 0 AS rounds FROM part UNION ALL SELECT p_partkey, value * 0.9::DOUBLE, rounds + 1 FROM l WHERE rounds < 3 AND (rounds = 0 OR value > 900))
-SELECT p_partkey, round(value, 6) + 0.0 AS value, rounds::INTEGER AS rounds FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY rounds DESC) AS rn FROM l) WHERE rn = 1""")
+WITH RECURSIVE b AS (SELECT row_id, initial_metadata.shutter_speed_s AS s, final_action.shutter AS t FROM experiences WHERE initial_metadata.shutter_speed_s > 0 AND final_action.shutter > 0 AND isfinite(initial_metadata.shutter_speed_s) AND isfinite(final_action.shutter)),
+l AS (SELECT row_id, s AS shutter, t, 0 AS rounds, false AS good FROM b UNION ALL SELECT row_id, x, t, rounds + 1, abs(log2(x / t)) < 0.25::DOUBLE FROM (SELECT *, exp(0.7::DOUBLE * ln(t) + 0.3::DOUBLE * ln(shutter)) AS x FROM l WHERE rounds < 3 AND NOT good))
+SELECT row_id, round(shutter, 8) + 0.0 AS shutter, rounds::INTEGER AS rounds, CASE WHEN good THEN 'satisfied' ELSE 'max_rounds_best_result' END AS stop_reason FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY rounds DESC) AS rn FROM l) WHERE rn = 1""")
 def closed_loop(spark: SparkSession, sf: str) -> DataFrame:
-    state = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("value"))
-    out = search.bounded_loop(state, lambda s: s.withColumn("value", F.col("value") * F.lit(0.9)), F.col("value") <= 900)
-    return out.select("p_partkey", r6(F.col("value")).alias("value"), "rounds")
+    """Shutter times drawn towards the final action round by round, until they are within a quarter stop."""
+    finite = "initial_metadata.shutter_speed_s > 0 and final_action.shutter > 0 and initial_metadata.shutter_speed_s < double('infinity') and final_action.shutter < double('infinity')"
+    state = table(spark, sf, "experiences").where(finite).select("row_id", F.col("initial_metadata.shutter_speed_s").alias("shutter"), F.col("final_action.shutter").alias("t"))
+    near = F.abs(F.log2(F.col("shutter") / F.col("t"))) < F.lit(0.25)
+    out = search.bounded_loop(state, lambda r: r.withColumn("shutter", X.geometric_blend(F.col("t"), F.col("shutter"), F.lit(0.3))), near)
+    return out.select("row_id", _r(F.col("shutter"), 8).alias("shutter"), "rounds", search.stop_reason(near).alias("stop_reason"))
 
 
 # --- retrieval ------------------------------------------------------------------------
 
 _PARTS = [retrieval.Component("v", "cosine", 192, 0.35), retrieval.Component("h", "jensen_shannon", 32, 0.30), retrieval.Component("x", "euclidean", 2, 0.10, 2**0.5)]
-_MEMORY_SQL = """
-WITH m AS (SELECT row_id, scene_id, physical_scene_id, fixed_features.visual_embedding AS v, fixed_features.luminance_histogram AS h, [log2(greatest(initial_metadata.iso::DOUBLE, 1) / 100) / 8, log2(greatest(initial_metadata.shutter_speed_s, 1e-9::DOUBLE) * 60) / 16] AS x FROM experiences
-  WHERE initial_metadata.iso IS NOT NULL AND initial_metadata.shutter_speed_s IS NOT NULL AND NOT isnan(initial_metadata.shutter_speed_s) AND len(fixed_features.visual_embedding) = 192 AND len(fixed_features.luminance_histogram) = 32
-    AND list_bool_and(list_transform(fixed_features.visual_embedding, lambda z: z IS NOT NULL AND isfinite(z))) AND list_bool_and(list_transform(fixed_features.luminance_histogram, lambda z: z IS NOT NULL AND isfinite(z)))),
-n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda z: z * z))) AS nv, list_transform(h, lambda z: greatest(z, 1e-12::DOUBLE) / list_sum(list_transform(h, lambda y: greatest(y, 1e-12::DOUBLE)))) AS p FROM m),
-c AS (SELECT q.row_id AS query_id, o.row_id AS other_id,
-    CASE WHEN q.nv > 0 AND o.nv > 0 THEN greatest(0, least(2, 1 - list_dot_product(q.v, o.v) / (q.nv * o.nv))) ELSE 1 END AS dv,
-    sqrt(greatest(0, 0.5::DOUBLE * list_sum(list_transform(list_zip(q.p, o.p), lambda z: z[1] * ln(2 * z[1] / (z[1] + z[2])) + z[2] * ln(2 * z[2] / (z[1] + z[2])))))) AS dh,
-    sqrt((q.x[1] - o.x[1]) ** 2 + (q.x[2] - o.x[2]) ** 2) AS dx
-  FROM n q, n o WHERE q.row_id % 20 = 0 AND q.row_id <> o.row_id AND NOT coalesce(q.scene_id = o.scene_id, false) AND NOT coalesce(q.physical_scene_id = o.physical_scene_id, false)),
-s AS (SELECT query_id, other_id, round(0.35::DOUBLE * dv + 0.3::DOUBLE * dh + 0.1::DOUBLE * dx / sqrt(2.0::DOUBLE), 9) AS score FROM c),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, other_id) AS rank FROM s)
-"""
-
-
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "experiences").select(
-        "row_id", "scene_id", "physical_scene_id", F.col("fixed_features.visual_embedding").alias("v"), F.col("fixed_features.luminance_histogram").alias("h"),
-        X.exposure_vector(F.col("initial_metadata.iso"), F.col("initial_metadata.shutter_speed_s")).alias("x"), "initial_metadata",
-    ).where("initial_metadata.iso is not null and initial_metadata.shutter_speed_s is not null and not isnan(initial_metadata.shutter_speed_s)")
-    return retrieval.weighted_neighbors(rows.where("row_id % 20 = 0"), rows, "row_id", _PARTS, 3, ("scene_id", "physical_scene_id"))
-
-
-@query(_MEMORY_SQL + "SELECT query_id, other_id, rank::INTEGER AS rank, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3")
-def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf).select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
-
-
-@query(_MEMORY_SQL + "SELECT query_id, arg_min(other_id, rank) AS best_id, string_agg(other_id, ',' ORDER BY rank) AS others FROM k WHERE rank <= 3 GROUP BY query_id")
-def retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
-    c = retrieval.context(_ranked(spark, sf))
-    return c.select("query_id", F.col("best.other_id").alias("best_id"), F.array_join(F.transform("examples", lambda e: e["other_id"].cast("string")), ",").alias("others"))
-
-
-@query(_MEMORY_SQL + """SELECT count(*) AS checked, count(*) FILTER (a.physical_scene_id = b.physical_scene_id) AS leaking
-FROM k JOIN experiences a ON a.row_id = query_id JOIN experiences b ON b.row_id = other_id WHERE rank <= 3""")
-def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours found, and those among them that share their query's physical scene: none."""
-    ranked = materialize(_ranked(spark, sf))
-    found = retrieval.leaks(ranked, table(spark, sf, "experiences"), "row_id", "physical_scene_id").agg(F.count("*").alias("leaking"))
-    return ranked.agg(F.count("*").alias("checked")).crossJoin(found)  # one row each
-
-
 _FULL_PARTS = [*_PARTS, retrieval.Component("q", "euclidean", 7, 0.20, 7**0.5), retrieval.Component("a", "euclidean", 2, 0.05, 2**0.5)]
 _QUALITY = ("quality.brightness", "quality.noise", "quality.motion_blur", "quality.highlight", "quality.shadow", "dynamic_range", "midtone_ratio")
 _FULL_ROWS_SQL = f"""
@@ -478,23 +501,73 @@ _NUMBER_OF = lambda text, i: f"nullif(regexp_extract_all({text}, '[0-9]+')[{i}],
 _UNPADDED = lambda text: f"regexp_replace({text}, '^0+([0-9])', '\\1')"
 
 
-@query(f"""WITH {_FULL_ROWS_SQL},
+_MEMORY_SQL = f"""WITH {_FULL_ROWS_SQL},
 c AS (SELECT *, coalesce(regexp_replace(lower(dataset_split), '[^a-z]+', '', 'g') IN ({_TRAIN}), false) AS train, {_UNPADDED(_NUMBER_OF("scene_id", 1))} || '_' || {_UNPADDED(_NUMBER_OF("scene_id", 2))} AS scene,
     {_UNPADDED(f"coalesce({_NUMBER_OF('physical_scene_id', 1)}, {_NUMBER_OF('scene_id', 2)})")} AS grp FROM experiences),
 f AS (SELECT grp, (row_number() OVER (ORDER BY md5('42:' || grp), grp) - 1) % 4 AS fold FROM (SELECT DISTINCT grp FROM c WHERE train AND grp IS NOT NULL)),
 w AS (SELECT n.*, c.train, c.scene, c.grp, CASE WHEN c.train THEN f.fold END AS fold FROM n JOIN c USING (row_id) LEFT JOIN f ON f.grp = c.grp),
 s AS (SELECT q.row_id AS query_id, o.row_id AS other_id, {_FULL_SCORE_SQL} FROM w q, w o
-  WHERE q.row_id % 20 = 0 AND o.train AND o.quality_gain >= 0.02 AND NOT isnan(o.quality_gain) AND q.row_id <> o.row_id AND (q.fold IS NULL OR coalesce(q.fold <> o.fold, false))
+  WHERE q.row_id % 20 = 0 AND o.train AND o.quality_gain >= 0.02 AND NOT isnan(o.quality_gain) AND q.row_id <> o.row_id {{fold}}
     AND NOT coalesce(q.scene = o.scene, false) AND NOT coalesce(q.grp = o.grp, false) AND NOT coalesce(q.run_id = o.run_id, false)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, other_id) AS rank FROM s)
-SELECT query_id, other_id, rank::INTEGER AS rank, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3""")
+"""
+_TOP = "SELECT query_id, other_id, rank::INTEGER AS rank, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3"
+_APART = ("scene", "grp", "run_id")
+
+
+def _memory_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _full_rows(spark, sf).withColumns({"train": F.coalesce(split_name(F.col("dataset_split")) == "train", F.lit(False)), "scene": scene_key(F.col("scene_id")), "grp": physical_key(F.col("physical_scene_id"), F.col("scene_id"))})
+
+
+_USEFUL = "train and quality_gain >= 0.02 and not isnan(quality_gain)"
+
+
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest useful training rows of another scene, physical scene and run."""
+    rows = materialize(_memory_rows(spark, sf))
+    return retrieval.weighted_neighbors(rows.where("row_id % 20 = 0"), rows.where(_USEFUL), "row_id", _FULL_PARTS, 3, _APART)
+
+
+@query(_MEMORY_SQL.format(fold="") + _TOP)
+def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf).select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
+
+
+_WEIGHTS = {"visual": 0.35, "histogram": 0.30, "quality": 0.20, "exposure": 0.10, "initial_action": 0.05}
+
+
+@query(_MEMORY_SQL.format(fold="") + """SELECT query_id, arg_min(other_id, rank) AS best_id, string_agg(other_id, ',' ORDER BY rank) AS others, arg_min(coalesce(label_source, '-'), rank) AS best_source,
+  string_agg(coalesce(final_action.iso::VARCHAR, '-'), ',' ORDER BY rank) AS isos, 1.0::DOUBLE AS weight FROM k JOIN experiences e ON e.row_id = other_id WHERE rank <= 3 GROUP BY query_id""")
+def retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
+    """What a query is told: its neighbours with the fields of their rows, the best one, the weights."""
+    told = ("scene_id", "physical_scene_id", "cross_fold", "run_id", "initial_metadata", "final_metadata", "initial_vlm_action", "integrated_vlm_action", "final_action", "quality_before", "quality_after", "quality_gain", "successful", "label_source")
+    c = retrieval.context(_ranked(spark, sf), table(spark, sf, "experiences"), "row_id", told, _WEIGHTS)
+    listed = lambda f: F.array_join(F.transform("examples", f), ",")
+    return c.select(
+        "query_id", F.col("best.other_id").alias("best_id"), listed(lambda e: e["other_id"].cast("string")).alias("others"), F.coalesce("best.label_source", F.lit("-")).alias("best_source"),
+        listed(lambda e: F.coalesce(e["final_action"]["iso"].cast("string"), F.lit("-"))).alias("isos"), r6(F.aggregate(F.map_values("distance_weights"), F.lit(0.0), lambda a, w: a + w)).alias("weight"),
+    )
+
+
+@query(f"""WITH {_FULL_ROWS_SQL},
+s AS (SELECT q.row_id AS query_id, o.row_id AS other_id, {_FULL_SCORE_SQL} FROM n q, n o WHERE q.row_id % 20 = 0 AND q.row_id <> o.row_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, other_id) AS rank FROM s)
+SELECT count(*) AS checked, count(*) FILTER (a.physical_scene_id = b.physical_scene_id) AS leaking FROM k JOIN experiences a ON a.row_id = query_id JOIN experiences b ON b.row_id = other_id WHERE rank <= 3""")
+def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by a search that isolates nothing, and those among them that share their query's physical scene."""
+    rows = materialize(_full_rows(spark, sf))
+    ranked = materialize(retrieval.weighted_neighbors(rows.where("row_id % 20 = 0"), rows, "row_id", _FULL_PARTS, 3))
+    found = retrieval.leaks(ranked, table(spark, sf, "experiences"), "row_id", "physical_scene_id").agg(F.count("*").alias("leaking"))
+    return ranked.agg(F.count("*").alias("checked")).crossJoin(found)  # one row each
+
+
+@query(_MEMORY_SQL.format(fold="AND (q.fold IS NULL OR coalesce(q.fold <> o.fold, false))") + _TOP)
 def crossfold_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours among useful training rows: of other folds for training rows, of all for held-out ones."""
-    rows = _full_rows(spark, sf).withColumns({"train": F.coalesce(split_name(F.col("dataset_split")) == "train", F.lit(False)), "scene": scene_key(F.col("scene_id")), "grp": physical_key(F.col("physical_scene_id"), F.col("scene_id"))})
+    rows = _memory_rows(spark, sf)
     folds = splits.cross_folds(rows.where("train"), "grp").withColumn("train", F.lit(True))
     rows = materialize(rows.join(folds, ["grp", "train"], "left"))
-    memory = rows.where("train and quality_gain >= 0.02 and not isnan(quality_gain)")
-    near = retrieval.crossfold_neighbors(rows.where("row_id % 20 = 0"), memory, "row_id", _FULL_PARTS, 3, "fold", ("scene", "grp", "run_id"))
+    near = retrieval.crossfold_neighbors(rows.where("row_id % 20 = 0"), rows.where(_USEFUL), "row_id", _FULL_PARTS, 3, "fold", _APART)
     return near.select("query_id", "other_id", "rank", r6(F.col("score")).alias("score"))
 
 
@@ -535,6 +608,17 @@ def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "experiences").select("row_id", F.get(F.from_json(content, "array<struct<type string, value string>>"), F.lit(0))["value"].alias("answer"))
 
 
+@query("""
+SELECT row_id, stage, final_action.iso AS iso, round(final_action.shutter, 8) + 0.0 AS shutter, original_image_path AS image FROM experiences, (SELECT unnest(['initial', 'integration']) AS stage)
+WHERE final_action.iso >= 1 AND final_action.shutter > 0 AND isfinite(final_action.shutter) AND initial_metadata IS NOT NULL AND original_image_path IS NOT NULL""")
+def memory_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Chat rows of every experience, and what the answer and the question of each hold, read back from the text."""
+    rows = labels.memory_examples(table(spark, sf, "experiences"))
+    return rows.select(
+        "row_id", "stage", F.get_json_object("messages", "$[2].content[0].value").alias("a"), F.get_json_object("messages", "$[1].content[0].value").alias("image"),
+    ).select("row_id", "stage", F.get_json_object("a", "$.action.ISO").cast("int").alias("iso"), _r(F.get_json_object("a", "$.action.Shutter").cast("double"), 8).alias("shutter"), "image")
+
+
 @query("""
 SELECT coalesce(CASE WHEN initial_vlm_action IS NULL OR initial_vlm_action.iso IS NULL OR initial_vlm_action.shutter IS NULL THEN 'no absolute action'
   WHEN initial_vlm_action.iso < 1 OR initial_vlm_action.shutter <= 0 OR isnan(initial_vlm_action.shutter) THEN 'action out of range' END, 'fine') AS verdict, count(*) AS n FROM experiences GROUP BY 1""")

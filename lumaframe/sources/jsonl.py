@@ -7,6 +7,8 @@ not used, as it explodes arrays and voids rows with one odd field.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -90,3 +92,21 @@ def append_new_records(df: DataFrame, path: str, key: str, order: list[Column],
 def count_lines(spark: SparkSession, path: str) -> int:
     """Non-blank lines."""
     return spark.read.text(path).where(F.trim("value") != "").count()
+
+
+def write_one_file(lines: DataFrame, path: str) -> None:
+    """The sorted one-column ``lines`` as one text file at ``path``, written by a task through Hadoop's file system.
+
+    For documents whose readers want a single file; the lines pass through one task, in
+    order, and never through the driver.
+    """
+    spark = lines.sparkSession
+    folder = f"{path}.writing-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(folder)
+    jvm = spark.sparkContext._jvm
+    at, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    fs.delete(at, False)
+    fs.rename(part, at)
+    fs.delete(source, True)

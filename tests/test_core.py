@@ -3,9 +3,11 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumaframe.functions import decisions
 from lumaframe.functions import exprs as X
 from lumaframe.functions.labels import physical_key, scene_key, split_name
 from lumaframe.operators import evaluate, order, search, splits
@@ -162,3 +164,76 @@ def test_product_join_makes_each_pair_once(spark):
     plain = sorted(tuple(r) for r in left.join(right, "k").collect())
     assert sorted(tuple(r) for r in product_join(left, right, "k", pairs_per_task=50).collect()) == plain and len(plain) == 800
     assert product_join(left.limit(0), right, "k").count() == 0
+
+
+def test_percentiles_equal_numpy_whatever_the_skew(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SHARE", 0.01)
+    rng = np.random.default_rng(3)
+    groups = {"even": rng.random(2000), "ties": np.repeat([1.0, 2.0, 3.0], [1500, 20, 400]), "far": np.r_[rng.random(900), [1e9, -1e9]], "one": np.array([7.0]), None: rng.normal(0, 1, 50), "ten": np.arange(10.0)}
+    rows = [(g, float(x), 1) for g, xs in groups.items() for x in xs] + [("even", None, 1), ("even", float("nan"), 1), ("none", None, 1)]
+    points = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: r for r in evaluate.exact_percentiles(spark.createDataFrame(rows, "g string, v double, n int"), "g", F.col("v"), points).collect()}
+    assert set(got) == {*groups, "none"} and got["none"]["n"] == 0 and got["none"]["p50"] is None
+    for g, xs in groups.items():
+        assert got[g]["n"] == len(xs)
+        assert np.allclose([got[g][p] for p in points], np.percentile(xs, [100 * q for q in points.values()])), g
+    empty = spark.createDataFrame([], "g string, v double")
+    assert evaluate.exact_percentiles(empty, "g", F.col("v"), points).count() == 0
+    c = evaluate.calibration(empty.withColumn("w", F.col("v")), F.col("v"), F.col("w")).first()
+    assert c["noise_floor"] is None and c["sample_count"] == 0
+
+
+def test_round_and_quality_metrics(spark):
+    rows = [(2, "good", True), (3, "max_rounds_best_result", False), (0, None, None), (1, "max_rounds_best_result", True)]
+    m = evaluate.round_metrics(spark.createDataFrame(rows, "n int, why string, ok boolean"), F.col("n"), F.col("why"), F.col("ok")).first()
+    assert (m["runs"], m["mean_rounds"], m["success_rate"], m["unsatisfied_rate"]) == (4, 2.0, 0.5, 0.25)
+    side = lambda *r: spark.createDataFrame(r, "k string, noise double, shadow double")
+    e = {r["field"]: r for r in evaluate.quality_errors(side(("a", 0.5, None), ("b", 0.1, 0.2)), side(("a", 0.25, 0.1), ("b", float("nan"), None)), "k", ("noise", "shadow")).collect()}
+    assert (e["noise"]["matched"], e["noise"]["mae"]) == (1, 0.25) and (e["shadow"]["matched"], e["shadow"]["mae"]) == (0, None)
+
+
+def test_names_and_derived_values(spark):
+    df = spark.createDataFrame([("/a/0001_002_S6/x.png", -1.0, [3, 4]), ("x.png", 0.5, [])], "p string, o double, l array<int>")
+    got = df.select(X.folder_scene(F.col("p")), X.variant_name(F.lit("s"), F.col("o")), order.first_of(F.col("l")), X.is_effective(F.lit(100), F.lit(0.01), F.lit(100), F.lit(0.0102)), X.ev_or_derived(F.lit(None).cast("double"), F.lit(100), F.lit(0.5))).collect()
+    assert [tuple(r) for r in got] == [("0001_002", "s--1.00", 3, False, 1.0), (None, "s-+0.50", None, False, 1.0)]
+    grouped = order.grouped_keys(spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "a"), (None, "c"), ("h", None)], "g string, k string"), "g", "k").collect()
+    assert [tuple(r) for r in grouped] == [("g", ["a", "b"])]
+
+
+def test_manifest_is_one_document(spark, small, tmp_path):
+    from lumaframe import jobs
+
+    out = tmp_path / "splits.json"
+    jobs.write_manifest(spark, small, str(out), 42, 4)
+    doc = json.loads(out.read_text())
+    assert doc["seed"] == 42 and sum(doc["counts"].values()) == len(doc["groups"]) > 0
+    assert all((g["fold"] is None) == (g["split"] != "train") for g in doc["groups"].values())
+
+
+def test_prompts_and_best_action(spark):
+    meta, features = F.struct(F.lit(100).alias("iso")), F.struct(F.lit(2).alias("histogram_bins"))
+    first, again = one(spark, decisions.initial_prompt(meta, features, None), decisions.initial_prompt(meta, features, F.lit('{"round_index": 1}')))
+    assert json.loads(first)["image_order"] == ["original"] and json.loads(first)["previous_round_feedback"] is None and json.loads(first)["initial_metadata"] == {"iso": 100}
+    assert json.loads(again)["image_order"] == ["original", "previous_result"] and json.loads(again)["previous_round_feedback"] == {"round_index": 1}
+    second = json.loads(one(spark, decisions.integration_prompt(meta, features, F.lit('{"action": {"ISO": 200}}'), F.lit(None).cast("string"), None))[0])
+    assert second["first_decision"] == {"action": {"ISO": 200}} and second["retrieved_experience"] is None and second["stage"] != json.loads(first)["stage"]
+    contexts = ['{"best_experience": {"final_action": {"ISO": 400, "Shutter": 0.01}}}', '{"examples": [{"final_action": {"ISO": 100, "Shutter": 0.5}}]}', '{"best_experience": {"final_action": {"ISO": "x"}}}', "[1]", "{", None]
+    got = spark.createDataFrame([(c,) for c in contexts], "c string").select(decisions.best_action(F.col("c")).alias("a")).collect()
+    assert [None if r["a"] is None else tuple(r["a"]) for r in got] == [(400, 0.01), (100, 0.5), None, None, None, None]
+
+
+def test_chat_messages_are_normalized(spark):
+    rows = [
+        '[{"role": "user", "content": [{"image": "a.png"}, {"text": "t"}, {"type": "image", "image": "/b.png"}]}, {"role": "assistant", "content": "x"}]',
+        '[{"role": "robot", "content": "x"}]', "{", None, "[]", '[{"role": "user", "content": [{"sound": "s"}]}]',
+    ]
+    got = [r["m"] for r in spark.createDataFrame([(r,) for r in rows], "m string").select(decisions.normalized_messages(F.col("m"), "/data").alias("m")).collect()]
+    assert [(i["type"], i["value"]) for i in got[0]["messages"][0]["content"]] == [("image", "/data/a.png"), ("text", "t"), ("image", "/b.png")]
+    assert got[0]["error"] is None and got[0]["messages"][1]["content"][0]["value"] == "x"
+    assert [g["error"] for g in got[1:]] == ["unknown role", "no list of messages", "no list of messages", "no list of messages", "unknown content"]
+
+
+def test_example_ids_depend_on_every_field(spark):
+    base = dict.fromkeys(decisions.IDENTITY, "v")
+    ids = {one(spark, decisions.example_id(**{k: F.lit(v) for k, v in {**base, **change}.items()}))[0] for change in [{}, *[{k: "w"} for k in base], *[{k: None} for k in base]]}
+    assert len(ids) == 2 * len(base) + 1 == 25 and all(len(i) == 20 for i in ids)

@@ -64,6 +64,71 @@ def test_reports_hold_feedback_decisions_quality_and_retrieval(spark):
     assert json.loads(got[2]["report"]) == {"run_id": "b", "stopped": "", "rounds": []} and got[2]["rounds"] == 0
 
 
+def leaves(value, path=""):
+    """Every scalar, null, empty object and empty list of a document with its path."""
+    if isinstance(value, str) and value.lstrip()[:1] in ("{", "[", "`"):
+        inner = nested.read_json(value)
+        value = inner if isinstance(inner, (dict, list)) else value
+    if isinstance(value, dict) and value:
+        return {x for k, v in value.items() for x in leaves(v, f"{path}/{k}")}
+    if isinstance(value, list) and value:
+        return {x for i, v in enumerate(value, 1) for x in leaves(v, f"{path}/{i}")}
+    return {(path, json.dumps(value))}
+
+
+def rebuilt(rows):
+    """The documents put together again from the typed tables."""
+    nodes = {}
+    for r in sorted(rows, key=lambda r: int(r["node_id"].split("/")[1])):
+        more = json.loads(r["more"]) if r["more"] else {}
+        own = more[""] if "" in more else {**more, **{c: r[c] for c in nested._TYPED[r["level"]] if r[c] is not None}}
+        nodes[r["node_id"]] = own
+        if r["parent_id"]:
+            up = nodes[r["parent_id"]]
+            if r["role"] in ("iterations", "candidates"):
+                up.setdefault(r["role"], {})[str(r["place"])] = own
+            else:
+                up[r["role"]] = own
+    return nodes
+
+
+def test_nothing_of_a_run_is_lost(spark, small):
+    docs = spark.read.parquet(f"{small}/agent_runs_self_evolving.parquet").select("run_key", "run_json")
+    nodes = nested.run_nodes(docs).collect()
+    by_run = {}
+    for r in nodes:
+        by_run.setdefault(r["run_key"], []).append(r)
+    checked = 0
+    for key, text in docs.collect():
+        value = nested.read_json(text)
+        if not isinstance(value, dict) or "result" in value:
+            continue
+        got = leaves(rebuilt(by_run[key])[f"{key}/0"])
+        number = lambda x: json.dumps(float(x)) if x not in ("true", "false", "null") and x[:1] not in '"[{' else x
+        single = isinstance(value.get("iterations"), dict) and not all(k.isdigit() for k in value["iterations"])
+        if not single:
+            assert {(p, number(v)) for p, v in got if v not in ("{}", "[]")} == {(p, number(v)) for p, v in leaves(value) if v not in ("{}", "[]")}, key
+            checked += 1
+    assert checked > 20
+    levels = {r["level"] for r in nodes}
+    assert {"run", "iteration", "candidate", "decision", "action", "metadata", "quality", "trace", "context"} <= levels
+    table = nested.level_table(nested.run_nodes(docs), "decision", "object_text")
+    assert table.count() > 0 and "reason" in table.columns and "iso" not in table.columns
+
+
+def test_documents_of_any_depth(spark):
+    deep = "[" * 4000 + "]" * 4000
+    text = '{"run_id": "x", "iterations": [{"index": 1, "deep": %s, "updated_metadata": {"iso": 5}}]}' % deep
+    wide = '{"metadata":' * 3000 + "1" + "}" * 3000
+    df = spark.createDataFrame([(1, text), (2, "[" * 200_000), (3, '{"iterations": [%s]}' % wide)], "run_key bigint, run_json string")
+    assert [tuple(r) for r in nested.iteration_candidates(df).where("run_key = 1").collect()] == [(1, 1, 0, 5, "")]
+    kept = {r["run_key"]: r["more"] for r in nested.run_nodes(df).where("level = 'iteration'").collect()}
+    assert deep in kept[1]
+    got = drift.unified_records(lines(spark, {("s", 1): ['{"a": %s, "b": 1}' % deep], ("s", 2): ['{"a": %s, "c": 1}' % deep]})).collect()
+    assert {r["fields"]["a"] for r in got} == {deep}
+    assert nested.dump_json({"a": [1, float("nan"), {"b": []}], "c": {}}) == '{"a":[1,null,{"b":[]}],"c":{}}'
+
+
 def test_repeated_runs_count_twice_and_empty_is_empty(spark):
     d = {"iterations": [{"index": 1}]}
     assert runs(spark, d, d).count() == 2
@@ -129,6 +194,34 @@ def test_unified_table_keeps_first_names(spark):
     assert {r["fields"]["meta.iso"] for r in rows} == {"100", "101", "102", "103", "104"}
 
 
+def test_unified_values_stay_as_they_are(spark):
+    a = [{"id": f"r{i}", "v": "1.10", "e": "1e5", "n": "NaN", "z": "007", "l": [3], "k": 2**60, "f": True, "m": i, "w": {"value": 4}, "o": {"x": {"y": 1}}, "s_": "a", "S_": "b"} for i in range(3)]
+    b = [dict(r, m=str(r["m"]), id=f"q{i}") for i, r in enumerate(a)] + [{"id": None, "v": 2.5}]
+    df = lines(spark, {("s", 1): a, ("s", 2): b})
+    got = {tuple(r["fields"][k] for k in ("v", "e", "n", "z", "l", "k", "w")) for r in drift.unified_records(df).collect() if "e" in r["fields"]}
+    assert got == {("1.10", "1e5", "NaN", "007", "[3]", str(2**60), "4")}
+    table = drift.unified_table(df)
+    kinds = dict(table.dtypes)
+    assert (kinds["v"], kinds["e"], kinds["k"], kinds["f"], kinds["m"], kinds["w"], kinds["o__x__y"], kinds["l"]) == ("string", "string", "string", "boolean", "double", "double", "double", "string")
+    assert {"s_", "S__"} <= set(table.columns) or {"S_", "s__"} <= set(table.columns)
+    assert table.count() == 7 and {r["m"] for r in table.where("m is not null").select("m").collect()} == {0.0, 1.0, 2.0}
+    few = drift.unified_table(df, most=2)
+    assert len(few.columns) == 6 and all("e" in r["rest"] for r in few.collect() if r["rest"])
+
+
+def test_names_follow_chains_swaps_and_renamed_parents(spark):
+    rows = lambda **names: [{"id": f"record-{i:04d}", "note": f"n{i * i}", "p": f"p/{i * 7}", **{k: f(i) for k, f in names.items()}} for i in range(6)]
+    x, y = (lambda i: f"x{i}"), (lambda i: i * 1.5 + 0.25)
+    files = {("s", 1): rows(a=x, b=y), ("s", 2): rows(a2=x, b=y), ("s", 3): rows(a3=x, b2=y), ("s", 4): rows(a=x, b2=y), ("s", 5): rows(a4=x, b=y), ("s", 6): rows(a4=x, b=y)}
+    got = drift.unified_records(lines(spark, files)).collect()
+    assert len(got) == 36
+    for r in got:
+        assert r["fields"]["a"].startswith("x") and not r["fields"]["b"].startswith("x") and set(r["fields"]) == {"id", "note", "p", "a", "b"}, r
+    inner = lambda name, leaf: [{"id": f"record-{i:04d}", "note": f"n{i * i}", name: {leaf: f"v{i}", "k": i / 7}} for i in range(6)]
+    moved = drift.unified_records(lines(spark, {("t", 1): inner("meta", "x"), ("t", 2): inner("info", "x"), ("t", 3): inner("info", "y")})).collect()
+    assert all({"meta.x", "meta.k"} <= set(r["fields"]) for r in moved)
+
+
 def test_matching_prefers_the_heavier_pairs():
     best = drift._best_matching({("a", "x"): 3.0, ("a", "y"): 2.0, ("b", "x"): 2.5})
     assert sorted(best) == [("a", "y"), ("b", "x")]

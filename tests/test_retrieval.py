@@ -92,6 +92,27 @@ def test_images():
     assert np.allclose(images.demosaic(flat), 0.5) and images.develop((flat * 65535).astype(np.uint16)).shape == (8, 8, 3)
 
 
+def test_raw_chain():
+    assert images.mosaic_pattern([2, 1, 1, 0]) == "BGGR" and images.mosaic_pattern([7, 0, 0, 0]) == images.mosaic_pattern(None) == "RGGB"
+    raw = np.arange(35, dtype=np.uint16).reshape(5, 7)
+    assert images.demosaic(raw.astype(float), "nonsense").shape == (4, 6, 3)
+    corner = images.demosaic(np.array([[8.0, 1.0], [1.0, 4.0]]))
+    assert corner[0, 0, 0] == 8 and corner[1, 1, 2] == 4 and corner[0, 0, 1] == 1 and corner[1, 1, 0] == 8
+    assert images.default_crop(raw, (2, 1), (3, 2)).tolist() == raw[1:3, 2:5].tolist()
+    assert images.default_crop(raw, (-1, 0), (3, 2)) is raw and images.default_crop(raw, None, (1, 1)) is raw
+    assert images.normalize_raw(np.array([[0.2, 0.9]])).tolist() == [[0.2, 0.9]] and images.normalize_raw(np.array([[600, 100]], np.uint16), 100, 1100).tolist() == [[0.5, 0.0]]
+    warm, cool = np.eye(3) * 2, np.eye(3)
+    warm[0, 1] = 2
+    assert images.colour_matrix(warm, cool, 3000)[0].tolist() == [0.5, 0.5, 0] and images.colour_matrix(warm, cool, 6500).tolist() == cool.tolist()
+    assert images.colour_matrix(None, None, None) is None and images.colour_matrix([1, 2], None, 5000) is None
+    grey = np.full((4, 4, 3), 0.25)
+    assert np.allclose(images.develop_linear(grey, neutral=(0.5, 1.0, 0.5)), [[0.5, 0.25, 0.5]]) and np.allclose(images.develop_linear(grey, gains=(2, 1, 4), white_level=0.5), [[1, 0.5, 1]])
+    assert np.allclose(images.develop_linear(np.full((2, 2, 4), 0.5)), 0.5) and images.develop_linear(np.zeros((2, 4)), orientation=6).shape == (4, 2, 3)
+    assert np.allclose(images.develop_linear(grey, matrix=np.zeros((3, 3))), 0.25)
+    white = images.develop_linear(np.full((2, 2, 3), 0.3), matrix=np.linalg.inv(np.linalg.inv(images.XYZ_TO_SRGB)))
+    assert white.shape == (2, 2, 3)
+
+
 def test_image_stage_skips_bad_pixels(spark):
     df = spark.createDataFrame([(1, [0.5] * 12), (2, None), (3, [0.5]), (4, [float("nan")] * 12), (5, [255.0] * 12)], "row_id bigint, px array<double>")
     assert [r["row_id"] for r in images.quality_reports(df, "row_id", "px", 2, 2).collect()] == [1]
@@ -104,7 +125,7 @@ def test_stream_appends_each_key_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
         stream = spark.readStream.schema(schema).json(source)
         memory.append_stream(stream, sink, mark, "run_id", [F.desc("gain")], F.col("gain") >= 0.02).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [("a", 0.5), ("c", 0.3)]
+    assert sorted(tuple(r) for r in memory.read_memory(spark, sink).collect()) == [("a", 0.5), ("c", 0.3)]
 
 
 def test_windowed_stream(spark, tmp_path):
