@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 # Luminance weights and the analysis thresholds.
@@ -259,6 +261,42 @@ _NAMES = [c.split()[0] for c in REPORT.split(",")]
 _AT_ONCE = 1 << 22  # pixels measured at once
 
 
+def unit_pixels(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pixels in [0, 1], and which of them can be used.
+
+    Rows with a value beyond 1 are in 8-bit units if none is beyond 255; rows with a
+    number that is not finite, negative or beyond that can't be used.
+    """
+    fine = np.isfinite(values).all(axis=1)
+    low, high = (f(np.where(fine[:, None], values, 0.0), axis=1) for f in (np.min, np.max))
+    fine &= (low >= 0) & (high <= 255)
+    return values / np.where(fine & (high > 1), 255.0, 1.0)[:, None], fine
+
+
+def with_frames(rows: DataFrame, pixels: str, height: int, width: int, schema: str, work: Callable[[np.ndarray, dict[str, np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """``rows`` with the columns of ``schema`` that ``work(images, columns)`` gives; nothing is shuffled.
+
+    Rows whose ``pixels`` are null, of another size or unusable are left out.
+    """
+    out_type = StructType([*rows.schema.fields, *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(out_type)
+    size, at = height * width * 3, rows.columns.index(pixels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(b.column(at)), -1).to_numpy(zero_copy_only=False))
+            b = b.filter(pa.array(lengths == size))
+            values, fine = unit_pixels(b.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, size))
+            b, values = b.filter(pa.array(fine)), values[fine]
+            if b.num_rows:
+                columns = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns) if n != pixels and (pa.types.is_floating(c.type) or pa.types.is_integer(c.type) or pa.types.is_boolean(c.type))}
+                made = work(values.reshape(-1, height, width, 3), columns)
+                cols = [*b.columns, *made]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, out_type)
+
+
 def _reports(frames: DataFrame, key: str, pixels: str, height: int, width: int, settings: tuple[str, ...], change: Callable[..., np.ndarray] | None) -> DataFrame:
     size = height * width * 3
 
@@ -268,9 +306,7 @@ def _reports(frames: DataFrame, key: str, pixels: str, height: int, width: int,
             whole = b.filter(pa.array(lengths == size))
             if not whole.num_rows:
                 continue
-            values = whole.column(1).flatten().to_numpy(zero_copy_only=False).reshape(whole.num_rows, size)
-            fine = np.isfinite(values).all(axis=1)
-            fine[fine] = (values[fine].min(axis=1) >= 0) & (values[fine].max(axis=1) <= 1)
+            values, fine = unit_pixels(whole.column(1).flatten().to_numpy(zero_copy_only=False).reshape(whole.num_rows, size))
             given = [whole.column(i + 2).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(len(settings))]
             for g in given:
                 fine &= np.isfinite(g) & (np.nan_to_num(g) > 0)
@@ -288,7 +324,7 @@ def _reports(frames: DataFrame, key: str, pixels: str, height: int, width: int,
 
 
 def quality_reports(frames: DataFrame, key: str, pixels: str, height: int, width: int) -> DataFrame:
-    """(key, report columns) of frames whose ``pixels`` hold height x width x 3 values in [0, 1].
+    """(key, report columns) of frames whose ``pixels`` hold height x width x 3 values in [0, 1] or in 8-bit units.
 
     Frames with a null key or with null, wrong-length, non-finite or out-of-range
     pixels are left out.
