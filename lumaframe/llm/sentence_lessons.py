@@ -78,6 +78,7 @@ A postcard 🏝️ of the island was enclosed.| It showed # palms 🌴 in a row.
 Is it true?| Yes.| Is it?| No.| Never mind.|
 Sec. #.# applies; see fig. #.| Otherwise nothing does.|
 (They had quarrelled.)| Peace came in spring.|
+My aunt (how she laughed!) went home.| The jar (it said "Do not open.") stood empty.| A recipe (see above.) calls for rum.|
 Old vs. new spelling: both stand.| approx. # words differ.|
 Jars were filled with oil.Then they were sealed.| That was all.|
 """,
@@ -94,6 +95,7 @@ Im @. Beet wächst nichts.| Das @. Beet ist leer.| Vom @. Juni an blüht es.|
 Der Sack kostet #,# Euro, d. h. zu viel.| Zwei reichen.|
 „Gießen. Und noch einmal gießen!“ pflegte Opa zu sagen.| Er hatte recht.|
 Beutel Nr. # fehlt.| Vgl. S. # ff. im Kalender.|
+Der Brief (s. u.) lag offen da.| Die Tante (wie sie lachte!) ging heim.| Das Rezept (vgl. oben.) braucht Rum.|
 """,
         "reise": """
 Hr. Kapitän Dr. Voss schlief um # Uhr.| Dann kam der Sturm.|
@@ -130,6 +132,7 @@ Il compta jusqu'à #... puis s'endormit.| La mer baissait... personne ne bougea.
 Quelle mer !| Quel vent !| Pourquoi partir ?|
 L'île a # habitants.| Le phare date de #.| On y mange bien.|
 L'affiche (« Entrée libre. Merci. ») est tombée.| Tant pis.|
+Ma tante (elle riait !) est partie.| La lettre (voir plus haut.) est perdue.|
 """,
     },
     "es": {
@@ -151,6 +154,7 @@ Espera... quizá venga.| El precio cayó a #...| Silencio.|
 Contó hasta #... y se durmió.| El mar bajaba... nadie se movió.|
 El tren sale a las #.| El faro es de #.| ¿Quién lo cuida?|
 El máx. fue # y el mín. #.| Hizo frío.|
+Mi tía (¡cómo reía!) se fue.| La carta (véase arriba.) está perdida.|
 """,
     },
     "zh": {
@@ -226,11 +230,11 @@ El máx. fue # y el mín. #.| Hizo frío.|
     "el": {
         "κήπος": """
 Τα τριαντάφυλλα άργησαν.| Κανείς δεν τα κλάδεψε.| Κρίμα!|
-Πάγωσαν τα φασόλια;| Όχι.| Μεγαλώνουν πάλι.|
+Πάγωσαν τα φασόλια\u037e| Όχι.| Μεγαλώνουν πάλι.|
 Ο κ. Δημητρίου και η κα. Λεμού μένουν εδώ.| Είναι γέροι.| Ο δρ. Άλκης έφυγε.|
 Βλ. σελ. # και αρ. # του βιβλίου.| Τα άλλα περισσεύουν.|
 Έχουμε σύκα, π.χ. Μαύρα ή λευκά, δηλ. πολλά.| Οι σφήκες έρχονται.|
-Ρώτησε: «Πού είμαστε;»| Κανείς δεν ήξερε.| Περίμενε... ίσως έρθει.| Το πλοίο έφυγε στις #.| Ήταν νύχτα.|
+Ρώτησε: «Πού είμαστε\u037e»| Κανείς δεν ήξερε.| Περίμενε... ίσως έρθει.| Το πλοίο έφυγε στις #.| Ήταν νύχτα.|
 """,
     },
     "hi": {

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from lumaframe.functions.arrow import flat_map_rows
 from lumaframe.llm.sentence_lessons import ALWAYS_ON, LESSONS, MAY_END, MONTHS, ORDINAL_LEADS
 
-MARKS = ".!?…。．！？｡।॥؟۔‼⁇⁈⁉᙮។"
+MARKS = ".!?…。．！？｡।॥؟۔‼⁇⁈⁉᙮។။\u037e"
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "“": "”", "«": "»", "„": "“", "‚": "‘", "‘": "’", "‹": "›"}
 CLOSERS = set(OPENERS.values()) | {"”", "»", "’"}
 UNMARKED = "฀-๿຀-໿ក-៿က-႟"  # Thai, Lao, Khmer, Burmese
@@ -364,6 +364,7 @@ def _starters(passages: list[Passage]) -> frozenset[str]:
 
 
 _STRIPPED = {"th": 0.3, "lo": 0.5, "km": 0.4, "my": 0.4, "zh": 0.15, "ja": 0.15}  # share of blocks without their marks
+_RARE = dict.fromkeys(("ko", "ru", "el", "lo", "km", "my"), 0.4)  # share of blocks of languages with few lines, beside 1 of the others
 _SPACELESS = ("zh", "ja")
 _PUNCTUATION = re.compile(rf"[{re.escape(MARKS)},，、；;：:“”「」\"]+")
 
@@ -371,7 +372,8 @@ _PUNCTUATION = re.compile(rf"[{re.escape(MARKS)},，、；;：:“”「」\"]+"
 def _compose(rng: random.Random, passages: list[Passage]) -> tuple[str, set[int]]:
     """A block of a few passages, and where its sentences end."""
     text, ends = "", set()
-    lang = rng.choice(sorted({p[0] for p in passages}))
+    langs = sorted({p[0] for p in passages})
+    lang = rng.choices(langs, [_RARE.get(x, 1.0) for x in langs])[0]
     own = [p for p in passages if p[0] == lang]
     stripped = rng.random() < _STRIPPED.get(lang, 0.0)
     pure = stripped or lang in ("km", "my")  # white space means another thing there
@@ -408,7 +410,7 @@ def _labelled(rng: random.Random, passages: list[Passage], count: int, starters:
     return out
 
 
-def train(sequences: int = 6_000, rounds: int = 6, seed: int = 3, passages: list[Passage] | None = None) -> SentenceModel:
+def train(sequences: int = 7_000, rounds: int = 6, seed: int = 3, passages: list[Passage] | None = None) -> SentenceModel:
     """An averaged structured perceptron over ``sequences`` composed blocks."""
     rng = random.Random(seed)
     passages = passages or _passages()

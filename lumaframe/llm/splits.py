@@ -117,14 +117,18 @@ def _shares(targets: DataFrame) -> list[tuple[str, float]]:
 
 
 def _best_salt(units: DataFrame, shares: list[tuple[str, float]], salts: int) -> int:
-    each = units.select("root", "unit_id", "unit_rows").distinct()
-    names = [n for n, _ in shares]
-    held = [F.sum(F.when(_ranges(F.col("unit_id"), F.lit(s), shares) == n, F.col("unit_rows")).otherwise(0)).alias(f"s{s}_{i}") for s in range(salts) for i, n in enumerate(names)]
-    sums = each.agg(F.sum("unit_rows").alias("all"), *held).first()
+    """Sums per salt and split: the copies of a unit are folded into them inside the map task that makes them."""
+    each = units.select("root", "unit_id", "unit_rows").distinct().select("unit_id", "unit_rows", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    held: dict[int, dict[str, int]] = {}
+    for r in each.groupBy("salt", _ranges(F.col("unit_id"), F.col("salt"), shares).alias("split")).agg(F.sum("unit_rows").alias("n")).collect():
+        held.setdefault(r["salt"], {})[r["split"]] = r["n"]
     total = sum(x for _, x in shares)
-    if not sums["all"]:
-        return 0
-    return min(range(salts), key=lambda s: (max(abs(sums[f"s{s}_{i}"] / sums["all"] - x / total) for i, (_, x) in enumerate(shares)), s))
+
+    def worst(salt: int) -> float:
+        n = sum(held[salt].values())
+        return max(abs(held[salt].get(name, 0) / n - x / total) for name, x in shares)
+
+    return min(held, key=lambda s: (worst(s), s), default=0)
 
 
 def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
