@@ -13,29 +13,33 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions.arrow import clean_text, flat_map_rows
 from lumaframe.functions.exprs import normalized_key
+from lumaframe.operators.nested import dump_json
 
 LIST_ITEMS = 32  # longer lists are cut, with their length kept beside them
 
 
-def _flatten(value, prefix: str, out: dict[str, str]) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _flatten(v, f"{prefix}.{k}" if prefix else str(k), out)
-    elif isinstance(value, list) and len(value) > LIST_ITEMS:
-        out[prefix] = json.dumps({"truncated": True, "length": len(value), "head": value[:LIST_ITEMS]}, ensure_ascii=False)
-    elif value is not None:
-        out[prefix] = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+def _flatten(value: dict) -> dict[str, str]:
+    """Leaves by dotted key, in the order they stand, without recursion."""
+    out: dict[str, str] = {}
+    todo = [("", value)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo.extend((f"{at}.{k}" if at else str(k), x) for k, x in reversed(v.items()))
+        elif isinstance(v, list) and len(v) > LIST_ITEMS:
+            out[at] = dump_json({"truncated": True, "length": len(v), "head": v[:LIST_ITEMS]})
+        elif v is not None:
+            out[at] = v if isinstance(v, str) else dump_json(v)
+    return out
 
 
 def _make_flatten() -> Callable[..., list[tuple]]:
     def one(key: str | None, text: str | None) -> list[tuple]:
-        out: dict[str, str] = {}
         try:
             value = json.loads(text) if text else None
         except (ValueError, RecursionError):
             value = None
-        if isinstance(value, dict):
-            _flatten(value, "", out)
+        out = _flatten(value) if isinstance(value, dict) else {}
         return [(key, {clean_text(k): clean_text(v) for k, v in out.items()})]
 
     return one

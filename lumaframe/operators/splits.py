@@ -54,3 +54,14 @@ def split_of_scene(scenes: DataFrame, by_scene: DataFrame, by_group: DataFrame)
 def unassigned(scenes: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
     """Scenes a manifest lacks: it is stale if there are any."""
     return scenes.select(key).where(F.col(key).isNotNull()).distinct().join(assigned.select(key), key, "left_anti")
+
+
+def only_split(rows: DataFrame, split: str | None = None, column: str = "dataset_split", required: bool = False) -> DataFrame:
+    """Rows of one split, a missing one counting as train; all rows without ``split``.
+
+    ``required``: an empty result raises.
+    """
+    out = rows if split is None else rows.where(F.coalesce(F.col(column), F.lit("train")) == split)
+    if required and out.isEmpty():
+        raise ValueError(f"no rows of the split {split!r}")
+    return out

@@ -237,3 +237,11 @@ def test_example_ids_depend_on_every_field(spark):
     base = dict.fromkeys(decisions.IDENTITY, "v")
     ids = {one(spark, decisions.example_id(**{k: F.lit(v) for k, v in {**base, **change}.items()}))[0] for change in [{}, *[{k: "w"} for k in base], *[{k: None} for k in base]]}
     assert len(ids) == 2 * len(base) + 1 == 25 and all(len(i) == 20 for i in ids)
+
+
+def test_only_split(spark):
+    df = spark.createDataFrame([("a", "train"), ("b", None), ("c", "test")], "k string, dataset_split string")
+    keys = lambda d: sorted(r["k"] for r in d.collect())
+    assert keys(splits.only_split(df)) == ["a", "b", "c"] and keys(splits.only_split(df, "train")) == ["a", "b"]
+    with pytest.raises(ValueError, match="no rows"):
+        splits.only_split(df, "validation", required=True)
