@@ -240,14 +240,14 @@ _LAST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id OR
 
 
 @query("WITH l AS " + _LAST + " " + " UNION ALL ".join(f"""
-SELECT '{f}' AS field, count(abs(a - b)) AS matched, round(avg(abs(a - b)), 6) + 0.0 AS mae FROM (SELECT CASE WHEN NOT isnan(quality_before.quality.{f}) THEN quality_before.quality.{f} END AS a, CASE WHEN NOT isnan(quality_after.quality.{f}) THEN quality_after.quality.{f} END AS b FROM l)""" for f in _ERROR_FIELDS))
+SELECT '{f}' AS field, count(abs(a - b)) AS matched, round(avg(abs(a - b)), 8) + 0.0 AS mae FROM (SELECT CASE WHEN NOT isnan(quality_before.quality.{f}) THEN quality_before.quality.{f} END AS a, CASE WHEN NOT isnan(quality_after.quality.{f}) THEN quality_after.quality.{f} END AS b FROM l)""" for f in _ERROR_FIELDS))
 def quality_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute error of each quality field, the report before taken as a prediction of that after."""
     rows = table(spark, sf, "experiences").where("scene_id is not null").select("scene_id", "row_id", "recorded_at", "quality_before", "quality_after")
     last = order.last_wins(rows, ["scene_id"], [F.col("recorded_at"), F.col("row_id")])
     side = lambda c: last.select("scene_id", f"{c}.quality.*")
     m = evaluate.quality_errors(side("quality_after"), side("quality_before"), "scene_id", _ERROR_FIELDS)
-    return m.select("field", "matched", r6(F.col("mae")).alias("mae"))
+    return m.select("field", "matched", _r(F.col("mae"), 8).alias("mae"))
 
 
 @query("""
