@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lumaframe.operators import skew
 from lumaframe.operators.skew import hot_key_join, largest_keys
 from lumaframe.session import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _noted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` written, and metrics taken while it is written: no job of their own reads it again."""
+    named = [m.alias(name) for name, m in metrics.items()]
+    seen = Observation()
+    out = materialize(df.observe(seen, *named))
+    got = seen.get
+    return out, got if set(got) == set(metrics) else out.agg(*named).first().asDict()  # an optimized empty plan notes nothing
+
+
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, dict]:
     """One star step on directed pairs ``(u, v)``.
 
     The minimum of each neighbourhood is pre-aggregated map-side; it goes back to
@@ -21,18 +31,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    counted = materialize(around.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "u")))
+    lows = around.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "u"))
+    counted, seen = _noted(lows, most=F.max("n"))
     lows = counted.select("u", "low")
-    joined = hot_key_join(around, lows, "u", hot=largest_keys(counted, "u", "n"))
+    hot = largest_keys(counted, "u", "n") if (seen["most"] or 0) >= skew.HOT_ROWS else []
+    joined = hot_key_join(around, lows, "u", hot=hot)
     if large:
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         near = joined.select(F.col("v").alias("u"), F.col("low").alias("v"))
         own = lows.select("u", F.col("low").alias("v"))
         linked = near.unionByName(own)
-    out = materialize(linked.where(F.col("u") != F.col("v")).distinct())
+    out, mark = _noted(linked.where(F.col("u") != F.col("v")).distinct(), **_mark())
     release(counted)
-    return out
+    return out, mark
+
+
+def _mark() -> dict[str, Column]:
+    """What tells one set of links from another: their number and the sum of their hashes."""
+    return {"links": F.count("*"), "hashes": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -48,21 +65,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
     edges = materialize(edges.distinct())
     nodes = materialize(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    stars = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
+    first = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stars, last = _noted(first, **_mark())
     release(edges)
-    last = mark(stars)
     for _ in range(max_rounds):
-        if not last[0]:
+        if not last["links"]:
             break
-        after = _star(stars, True)
+        after, _ = _star(stars, True)
         release(stars)
-        stars = _star(after, False)
+        stars, now = _star(after, False)
         release(after)
-        now = mark(stars)
         if now == last:
             break
         last = now
