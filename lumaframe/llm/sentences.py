@@ -45,7 +45,8 @@ _HAN_CHAR = re.compile(rf"[{_HAN}]")
 _OWN_MARK = re.compile(rf"[{re.escape(MARKS.replace('.', ''))}]")
 HAN_STRETCH = 40  # Chinese or Japanese characters without any mark that are no heading or label any more
 _PAIRED = re.compile("[" + re.escape("".join(OPENERS) + "".join(CLOSERS)) + '"]')
-_WORD = re.compile(r"[^\s()\[\]{}（）「」『』“”„«»\"“，、；：,;:！？。!?]+$")
+_SEPARATORS = frozenset("()[]{}（）「」『』“”„«»\"，、；：,;:！？。!?")
+_CODE = re.compile(r"[a-z]{1,2}[\d/]")
 _NEXT = re.compile(r"[^\W_]+")
 _ALWAYS, _MAY, _LEADS, _MONTHS = set(ALWAYS_ON), set(MAY_END), set(ORDINAL_LEADS), set(MONTHS)
 
@@ -186,52 +187,56 @@ def attributes(block: str, start: int, spans: Spans, cand: tuple[int, int, int,
     nxt = _kind(block[lead : lead + 1])
     if s == e and not block[s].isspace():
         return ("han", block[s - 1], block[max(0, s - 2) : s], block[s], block[s : s + 2])
+    if s < e:
+        mark = block[s:e]
+        kind = "dot" if mark == "." else "dots" if set(mark) <= {"."} else "ellipsis" if "…" in mark else "wide" if ord(mark[0]) > 0x2E7F else "danda" if mark[0] in "।॥" else "bang"
+        inside = spans.depth(end - 1) > 0 if opener is None else spans.depth(end) > 0 and block[end] not in OPENERS and block[end] != '"'
+        if inside:
+            return ("inside", kind)
+    if nxt == "lower" and _CODE.match(block, lead, lead + 3):
+        nxt = "code"  # v2.1, f/8
+    if s < e and opener is not None:
+        at = opener
+        while at > 0 and block[at - 1].isspace():
+            at -= 1
+        lead_in = block[at - 1 : at]
+        first = not lead_in or lead_in in MARKS or opener == start or "\n" in block[opener - 1 : opener]
+        return ("closed", block[opener] in "([{（【", lead_in in (":", "："), nxt, first, _kind(lead_in), block[lead : lead + 1] if nxt not in _CASED else "")
+    if s < e and kind != "dot":
+        return ("mark", kind, gap, nxt, lead > after)
     word = _NEXT.match(block, lead, lead + 40)
     next_word = word.group() if word else ""
-    if nxt == "lower" and re.match(r"[a-z]{1,2}[\d/]", block[lead : lead + 3]):
-        nxt = "code"  # v2.1, f/8
     whole = block[max(0, s - 40) : s]
     before = whole.rstrip("   ")
-    found = _WORD.search(before)
-    token = found.group().lstrip("'’(") if found else ""
+    at = len(before)
+    while at > 0 and before[at - 1] not in _SEPARATORS and not before[at - 1].isspace():
+        at -= 1
+    token = before[at:].lstrip("'’(")
     prev = _kind(before[-1:])
-    depth = spans.depth(end - 1) if end > 0 and opener is None else spans.depth(end)
-    inside = depth > 0 and (opener is None or (block[end] not in OPENERS and block[end] != '"'))
     if s == e:
         follows = _TOKEN.match(block, after, after + 40).group().strip("()\"“”").lower()
         abbreviated = token.rstrip(".").lower() in _ALWAYS or (follows.endswith(".") and follows.rstrip(".") in _ALWAYS)
         left = _kind(block[s - 1 : s])
+        inside = end > 0 and spans.depth(end - 1) > 0
         ends = ("", "") if left in ("thai", "lao") or (marked and left != "burmese") else (block[max(0, s - 3) : s], block[after : after + 2])
         return ("gap", left, nxt, inside, prev, abbreviated, marked, *ends)
-    mark = block[s:e]
-    kind = "dot" if mark == "." else "dots" if set(mark) <= {"."} else "ellipsis" if "…" in mark else "wide" if ord(mark[0]) > 0x2E7F else "danda" if mark[0] in "।॥" else "bang"
-    if inside:
-        return ("inside", kind)
-    if opener is not None:
-        at = opener
-        while at > 0 and block[at - 1].isspace():
-            at -= 1
-        lead_in = block[at - 1 : at]
-        first = not lead_in or lead_in in MARKS or opener == start or "\n" in block[opener - 1 : opener]
-        return ("closed", block[opener] in "([{（【", lead_in in (":", "："), nxt, first, _kind(lead_in), block[lead : lead + 1] if nxt not in _CASED else "")
-    if kind != "dot":
-        return ("mark", kind, gap, nxt, lead > after)
     short = token.lower()
-    head = before[: found.start()].rstrip().split() if found else []
+    there = at < len(before)
+    head = before[:at].rstrip().rsplit(maxsplit=1)[-1:]
     pair = (head[-1].lower().strip("(„\"") + short) if head and head[-1].endswith(".") else ""
     always, may = _abbreviation(short)
     always, may = always or pair in _ALWAYS, may or pair in _MAY
     single = len(token) == 1 and token.isalpha()
     shape = "num" if token.isdigit() else "dec" if _DECIMAL.fullmatch(token) else ("singleU" if token.isupper() else "singlel") if single else "word"
     terse = shape == "word" and len(token) < 5 and token.isalpha() and not _VOWEL.search(short)
-    lone = always and found is not None and (len(before) == len(token) or before[: len(before) - len(token)].rstrip()[-1:] in (*MARKS, "|"))
+    lone = always and there and (len(before) == len(token) or before[: len(before) - len(token)].rstrip()[-1:] in (*MARKS, "|"))
     ordinal = shape == "num" and bool(head) and head[-1].lower() in _LEADS
     after_word = block[lead + len(next_word) : lead + len(next_word) + 1]
     next_short = after_word == "." and any(_abbreviation(next_word.lower()))
     return (
         "dot", gap, nxt, lead > after, prev, always, may, shape, before != whole, terse,
         lone and short in ("no", "max", "min", "art"), lone,
-        found is not None and max(0, s - 40) + found.start() <= start and shape == "num",
+        there and max(0, s - 40) + at <= start and shape == "num",
         ordinal, shape == "num" and len(token) > 2, next_word.lower() in _MONTHS,
         next_word.isupper() and 1 < len(next_word) < 6, next_word.lower() in starters, next_short, (short.rsplit(".", 1)[-1] if short not in _MAY else short) if may else "",
     )
