@@ -114,8 +114,8 @@ def test_raw_chain():
 
 
 def test_image_stage_skips_bad_pixels(spark):
-    df = spark.createDataFrame([(1, [0.5] * 12), (2, None), (3, [0.5]), (4, [float("nan")] * 12), (5, [255.0] * 12)], "row_id bigint, px array<double>")
-    assert [r["row_id"] for r in images.quality_reports(df, "row_id", "px", 2, 2).collect()] == [1]
+    df = spark.createDataFrame([(1, [0.5] * 12), (2, None), (3, [0.5]), (4, [float("nan")] * 12), (5, [255.0] * 12), (6, [256.0] * 12), (7, [-0.1] * 12)], "row_id bigint, px array<double>")
+    assert [r["row_id"] for r in images.quality_reports(df, "row_id", "px", 2, 2).collect()] == [1, 5]  # 5 is in 8-bit units
 
 
 def test_stream_appends_each_key_once(spark, tmp_path):
