@@ -2,6 +2,7 @@
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from lumaframe.llm import vectors as vec_module
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.queries import queries
 from lumaframe.operators import skew
+from lumaframe.session import materialize
 
 FEATURES = "struct<visual_embedding array<double>, luminance_histogram array<double>>"
 
@@ -185,6 +187,48 @@ def test_neighbours_with_ties_and_copies(spark):
     assert {p for p in got if p[0] in big} == {p for p in expected if p[0] in big}
 
 
+def test_neighbours_shuffle_one_copy_of_the_vectors_at_a_time(spark, monkeypatch):
+    """Passes of one table give what one pass of all tables gives."""
+    rng = np.random.default_rng(14)
+    vecs = np.repeat(rng.random((20, 32)), 15, axis=0) + rng.normal(0, 0.05, (300, 32))
+    rows = vectors(spark, [(i, None, None, None, (None, v.tolist()), "x", 1) for i, v in enumerate(vecs)])
+    stream, copies = neighbors.stream_blocks, []
+
+    def watched(queries, index, *args, **kwargs):
+        copies.append(index.count() / 300)
+        return stream(queries, index, *args, **kwargs)
+
+    def found():
+        copies.clear()
+        return {tuple(r) for r in neighbors.nearest_rows(rows, F.col("fixed_features.luminance_histogram"), 32).collect()}
+
+    monkeypatch.setattr(neighbors, "stream_blocks", watched)
+    monkeypatch.setattr(vec_module, "TABLES", (3,))
+    at_once = found()
+    assert len(at_once) == 1500 and max(copies) == 3
+    monkeypatch.setattr(neighbors, "PASS_BYTES", 1, raising=False)
+    assert found() == at_once and max(copies) == 1
+
+
+def test_materialize_drops_its_shuffle_files(spark):
+    folders = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+
+    def files():
+        return {p for d in folders for p in d.rglob("shuffle_*.data")}
+
+    before = files()
+    kept = spark.range(1000).repartition(4, "id")
+    materialize(kept)
+    stay = files() - before
+    assert stay
+    out = materialize(kept, drop_shuffles=True)
+    for _ in range(100):  # they are deleted in the background
+        if not (left := files() - before - stay):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+
+
 def test_rows_with_too_few_in_reach_are_probed_wider(spark):
     """Two far groups: the smaller one's rows find others only under flipped bits or against all."""
     rng = np.random.default_rng(12)
